@@ -91,7 +91,7 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
 
 
 def segments(b: np.ndarray, off: np.ndarray, size: int = SEGMENT) -> Iterator[tuple[int, int, int, int]]:
-    """(first row, last row + 1, start, end) of pieces of about size bytes. A longer row is cut after white space, where there is any within reach."""
+    """(first row, last row + 1, start, end) of pieces of about size bytes. A longer row is cut before white space that follows a word."""
     n, i = len(off) - 1, 0
     while i < n:
         if off[i + 1] - off[i] <= size:
@@ -103,11 +103,12 @@ def segments(b: np.ndarray, off: np.ndarray, size: int = SEGMENT) -> Iterator[tu
         while at < end:
             to = min(at + size, end)
             while to < end:
-                gap = np.flatnonzero(WS[b[to : to + 65536]])
+                upto = min(to + 65536, end)
+                gap = np.flatnonzero(WS[b[to:upto]] & ~WS[b[to - 1 : upto - 1]])
                 if len(gap):
                     to += int(gap[0])
                     break
-                to = min(to + 65536, end)
+                to = upto
             yield i, i + 1, at, to
             at = to
         i += 1

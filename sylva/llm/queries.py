@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(by: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    found = langid.identify(_table(spark, sf_dir, "documents"), _remainder(4) != 2)
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,7 +59,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_output, op6_packing, op8_quality_rules, op9_html_extraction, op10_simhash)
+    f.__name__: f for f in (op1_language_id, op3_token_output, op6_packing, op8_quality_rules, op9_html_extraction, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {}

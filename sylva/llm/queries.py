@@ -32,6 +32,12 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.decode(segments, book, with_ids=False)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_token_output, op6_packing, op8_quality_rules, op9_html_extraction, op10_simhash)
+    f.__name__: f for f in (op1_language_id, op3_token_output, op5_secret_scan, op6_packing, op8_quality_rules, op9_html_extraction, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {}

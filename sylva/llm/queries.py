@@ -59,6 +59,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    found = lm.score(_table(spark, sf_dir, "documents"), _remainder(7) != 2)
+    return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -78,7 +85,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_output, op4_line_dedup, op5_secret_scan, op6_packing, op8_quality_rules, op9_html_extraction, op10_simhash)
+    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_output, op4_line_dedup, op5_secret_scan, op6_packing, op7_lm_scoring, op8_quality_rules, op9_html_extraction, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,6 +1,6 @@
 """The axes as joins on node tables: an equi-join on the document with an equality or a range on pre and size.
 
-ctx is any table with doc_id and node_id of context nodes (further columns stay, prefixed c_); the result holds, for each context
+ctx is any table with doc_id and node_id of context nodes (c_ctx, if there, is carried along); the result holds, for each context
 node and node on the axis, the node's columns, c_node_id and axis_pos, the node's place on the axis from 1.
 """
 
@@ -59,13 +59,13 @@ def axis(ctx: DataFrame, nodes: DataFrame, name: str, test: Column | None = None
     if test is not None:
         nodes = nodes.where(test)
     own = [F.col(x) for x in nodes.columns]
-    c = ctx.select(F.col("doc_id").alias("c_doc_id"), *[F.col(x).alias(f"c_{x}") for x in ctx.columns if x != "doc_id" and not x.startswith("c_")], *[F.col(x).alias(f"c_{x}") for x in ctx.columns if x.startswith("c_") and x != "c_doc_id"]).alias("c")
+    c = ctx.select(F.col("doc_id").alias("c_doc_id"), *[F.col(x).alias(f"c_{x}") for x in ctx.columns if x != "doc_id" and not x.startswith("c_")], *[x for x in ctx.columns if x == "c_ctx"]).alias("c")
     joined = nodes.select(*own).alias("n").join(c, (F.col("n.doc_id") == F.col("c.c_doc_id")) & _rule(name))
     out = joined.select("n.*", *[F.col(f"c.{x}") for x in c.columns if x in ("c_node_id", "c_pre", "c_ctx")])
     if not positions:
         return out
     order = F.col("pre").desc() if name in REVERSE or name.startswith("rev-") else F.col("pre")
-    w = Window.partitionBy("doc_id", "c_node_id")
+    w = Window.partitionBy("doc_id", "c_node_id", *[x for x in out.columns if x == "c_ctx"])
     ranked = w.orderBy(order, F.col("sib"))
     return out.withColumn("axis_pos", F.row_number().over(ranked)).withColumn("axis_last", F.count(F.lit(1)).over(w))
 

@@ -331,3 +331,237 @@ _NUM = {
 }
 for _name, (_f, _sql) in _NUM.items():
     query(f"SELECT c_custkey, {_sql} AS v FROM customer", f"fn_{_name}")(lambda spark, sf_dir, f=_f: table(spark, sf_dir, "customer").select("c_custkey", f(F.col("c_acctbal")).alias("v")))
+
+
+# regular expressions
+
+from ..functions import datatypes as D  # noqa: E402
+from ..functions import regex as R  # noqa: E402
+from ..model import Node  # noqa: E402
+from ..operators import codec as K  # noqa: E402
+from ..operators import dtd as DTD  # noqa: E402
+from ..operators import edit, rdf, rng, xsd, xslt  # noqa: E402
+from ..sources import cache  # noqa: E402
+from ..sources.documents import errors, rewrite, serialize, status  # noqa: E402
+
+
+@query("SELECT p_partkey, regexp_full_match(p_name, '[a-z]+ [a-z0-9 ]*') AS v FROM part")
+def regex_match(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", R.match_col(F.col("p_name"), "[a-z]+ [a-z0-9 ]*").alias("v"))
+
+
+@query("SELECT p_partkey, regexp_full_match(p_name, '.*a.*') AND NOT regexp_full_match(p_name, '.*1.*') AS v FROM part")
+def regex_difference(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", R.match_col(F.col("p_name"), r".*a.*{\}.*1.*").alias("v"))
+
+
+@query("SELECT p_partkey, array_to_string(regexp_extract_all(p_name || ' ' || p_type, '[a-zA-Z]+'), ',') AS v FROM part")
+def regex_tokenize(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(R.tokenize_col(F.concat_ws(" ", "p_name", "p_type"), "[a-zA-Z]+"), ",").alias("v"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '[0-9]+', '#', 'g') AS v FROM part")
+def regex_sed(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", R.sed_col(F.col("p_name"), "[0-9]+", lambda t: "#").alias("v"))
+
+
+@query("SELECT p_partkey, regexp_extract(p_name, '^[a-z]*') AS token, substring(p_name, length(regexp_extract(p_name, '^[a-z]*')) + 1) AS rest FROM part")
+def regex_split(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", R.split_col(F.col("p_name"), "[a-z]*").alias("x")).select("p_partkey", "x.*")
+
+
+@query("SELECT doc_id, n::INT AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE regexp_matches(line, '^The .*\\.$')")
+def regex_grep(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(R.grep_col(F.col("text"), r"^The .*\.$")).alias("x"))
+    return found.select("doc_id", "x.n")
+
+
+@query("SELECT p_partkey, regexp_extract(p_brand, '^([A-Za-z]+)#', 1) AS word, regexp_extract(p_brand, '#([0-9]+)$', 1) AS num FROM part")
+def regex_subex(spark, sf_dir):
+    m = R.subex_col(F.col("p_brand"), "({w}[A-Za-z]+)#({n}[0-9]+)")
+    return table(spark, sf_dir, "part").select("p_partkey", m.alias("m")).select("p_partkey", F.coalesce(F.try_element_at("m", F.lit("w")), F.lit("")).alias("word"), F.coalesce(F.try_element_at("m", F.lit("n")), F.lit("")).alias("num"))
+
+
+# datatypes
+
+_TYPED = {
+    "byte": ("customer", "c_custkey", "floor(c_acctbal)::BIGINT::VARCHAR", lambda: D.check_col(F.floor("c_acctbal").cast("string"), "byte"), "floor(c_acctbal) BETWEEN -128 AND 127"),
+    "decimal": ("customer", "c_custkey", "", lambda: D.check_col(F.format_string("%.2f", "c_acctbal"), "decimal", minInclusive=0, fractionDigits=1), "c_acctbal >= 0 AND printf('%.2f', c_acctbal) LIKE '%0'"),
+    "pattern": ("part", "p_partkey", "", lambda: D.check_col(F.col("p_brand"), "string", pattern="Brand#[1-3][0-9]"), "regexp_full_match(p_brand, 'Brand#[1-3][0-9]')"),
+    "enum": ("customer", "c_custkey", "", lambda: D.check_col(F.col("c_mktsegment"), "token", enumeration=["BUILDING", "MACHINERY"]), "c_mktsegment IN ('BUILDING', 'MACHINERY')"),
+    "length": ("part", "p_partkey", "", lambda: D.check_col(F.col("p_name"), "token", maxLength=12), "length(p_name) <= 12"),
+    "date": ("orders", "o_orderkey", "", lambda: D.check_col(F.concat(F.date_format("o_orderdate", "yyyy-MM-"), F.lpad((F.dayofmonth("o_orderdate") + 3).cast("string"), 2, "0")), "date"), "try_cast(strftime(o_orderdate, '%Y-%m-') || lpad((day(o_orderdate) + 3)::VARCHAR, 2, '0') AS DATE) IS NOT NULL"),
+}
+for _name, (_t, _k, _, _f, _sql) in _TYPED.items():
+    query(f"SELECT {_k}, {_sql} AS ok FROM {_t}", f"xsd_{_name}")(lambda spark, sf_dir, t=_t, k=_k, f=_f: table(spark, sf_dir, t).select(k, f().alias("ok")))
+
+
+# validation of documents
+
+
+@query("SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1")
+def dtd_required(spark, sf_dir):
+    nodes = orders(spark, sf_dir)
+    bare = nodes.withColumn("attrs", F.when(F.col("attrs")["flag"] == "N", F.map_filter("attrs", lambda k, v: k != "flag")).otherwise(F.col("attrs")))
+    return DTD.missing_attributes(bare, "lineitem", "flag").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey AS doc_id, l_returnflag AS id, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def dtd_unique_id(spark, sf_dir):
+    return DTD.duplicate_ids(orders(spark, sf_dir), "flag")
+
+
+@query("SELECT o_orderkey AS doc_id, o_orderstatus AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = o_orderstatus)")
+def dtd_idref(spark, sf_dir):
+    return DTD.dangling_refs(orders(spark, sf_dir), "status", "flag")
+
+
+@query("SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY 1")
+def dtd_default(spark, sf_dir):
+    new = DTD.add_defaults(orders(spark, sf_dir), "qty", {"unit": "piece"})
+    return new.where("attrs['unit'] = 'piece'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey AS doc_id FROM lineitem GROUP BY 1 HAVING count(*) > 5")
+def dtd_content(spark, sf_dir):
+    model = "(" + ",".join(["lineitem?"] * 5) + ")"
+    return DTD.content_errors(orders(spark, sf_dir), {"order": model, "lineitem": "(qty,part,supp)"}).select("doc_id")
+
+
+@query("SELECT n_nationkey AS doc_id, coalesce(max(floor(c_acctbal)), 0) <= 9900 AS ok FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def validate_schema(spark, sf_dir):
+    schema = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="nation"><xs:complexType><xs:sequence>
+      <xs:element name="group" minOccurs="0" maxOccurs="unbounded"><xs:complexType><xs:sequence><xs:element name="customer" maxOccurs="unbounded"><xs:complexType><xs:sequence><xs:element name="bal" type="bal"/></xs:sequence>
+      <xs:attribute name="key" type="xs:nonNegativeInteger" use="required"/></xs:complexType></xs:element></xs:sequence><xs:attribute name="name" type="xs:token"/></xs:complexType></xs:element></xs:sequence>
+      <xs:attribute name="key" type="xs:int"/><xs:attribute name="name" type="xs:string"/></xs:complexType></xs:element>
+      <xs:simpleType name="bal"><xs:restriction base="xs:integer"><xs:maxInclusive value="9900"/></xs:restriction></xs:simpleType></xs:schema>"""
+    return xsd.validate_xsd(nations(spark, sf_dir), schema).select(F.col("doc_id").cast("int"), "ok")
+
+
+@query("SELECT n_nationkey AS doc_id, coalesce(max(floor(c_acctbal)), 0) <= 9900 AS ok FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def validate_patterns(spark, sf_dir):
+    schema = """<grammar xmlns="http://relaxng.org/ns/structure/1.0" datatypeLibrary="http://www.w3.org/2001/XMLSchema-datatypes"><start><element name="nation"><attribute name="key"/><attribute name="name"/><zeroOrMore><ref name="g"/></zeroOrMore></element></start>
+      <define name="g"><element name="group"><attribute name="name"/><oneOrMore><element name="customer"><attribute name="key"><data type="nonNegativeInteger"/></attribute><element name="bal"><data type="integer"><param name="maxInclusive">9900</param></data></element></element></oneOrMore></element></define></grammar>"""
+    return rng.validate_rng(nations(spark, sf_dir), schema).select(F.col("doc_id").cast("int"), "ok")
+
+
+@query("SELECT page_id AS doc_id, 0 AS level FROM pages")
+def document_status(spark, sf_dir):
+    return status(pages(spark, sf_dir))
+
+
+@query("SELECT page_id AS doc_id, 3 AS level FROM pages")
+def parse_errors(spark, sf_dir):
+    return errors(shred(table(spark, sf_dir, "pages"), text="html", doc_id="page_id")).select("doc_id", "level")
+
+
+# transformation
+
+
+@query("SELECT n_nationkey AS doc_id, '<list>' || coalesce(string_agg('<c>' || c_custkey || '</c>', '' ORDER BY floor(c_acctbal) DESC, c_mktsegment, c_custkey), '') || '</list>' AS text FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def xsl_sort_number(spark, sf_dir):
+    sheet = """<xsl:stylesheet version="1.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform"><xsl:template match="/"><list><xsl:for-each select="//customer"><xsl:sort select="bal" data-type="number" order="descending"/><c><xsl:value-of select="@key"/></c></xsl:for-each></list></xsl:template></xsl:stylesheet>"""
+    found = xslt.transform_to_text(nations(spark, sf_dir), sheet)
+    return found.where("text <> '<list/>'").select(F.col("doc_id").cast("int"), "text")
+
+
+@query("SELECT n_nationkey AS doc_id, string_agg(name || ':' || n || ';', '' ORDER BY name) AS text FROM (SELECT n_nationkey, c_mktsegment AS name, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2) GROUP BY 1")
+def xsl_templates(spark, sf_dir):
+    sheet = """<xsl:stylesheet version="1.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform"><xsl:template match="nation"><xsl:apply-templates select="group"><xsl:sort select="@name"/></xsl:apply-templates></xsl:template><xsl:template match="group"><xsl:value-of select="concat(@name, ':', count(customer), ';')"/></xsl:template></xsl:stylesheet>"""
+    found = xslt.transform_to_text(nations(spark, sf_dir), sheet)
+    return found.where("text <> ''").select(F.col("doc_id").cast("int"), "text")
+
+
+@query("SELECT l_orderkey AS doc_id, sum(l_quantity)::BIGINT AS q FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1")
+def rewrite_top_down(spark, sf_dir):
+    from ..operators import arrows as A
+
+    f = A.process_top_down(A.when(A.none, A.has_attr_value("flag", lambda v: v == "R")))
+    new = rewrite(orders(spark, sf_dir), f.run)
+    text = axes.string_value(new.where("name = 'qty'"), new)
+    return text.groupBy("doc_id").agg(F.sum(F.col("string_value").cast("long")).alias("q"))
+
+
+@query("SELECT o_orderkey AS doc_id, '<order key=\"' || o_orderkey || '\" status=\"' || o_orderstatus || '\"' || CASE WHEN count(l_orderkey) = 0 THEN '/>' ELSE '>' END AS head, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus")
+def serialize_roundtrip(spark, sf_dir):
+    text = serialize(orders(spark, sf_dir), xml_pi=False)
+    return text.select("doc_id", F.regexp_extract("text", "^(<[^>]*>)", 1).alias("head"), F.size(F.regexp_extract_all("text", F.lit("<lineitem "), F.lit(0))).cast("long").alias("n"))
+
+
+@query("SELECT o_orderkey AS doc_id, 'urn:' || o_orderstatus AS ns, count(l_orderkey) + 1 AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+def namespaces(spark, sf_dir):
+    def declare(t: Node) -> list[Node]:
+        top = t.children[0]
+        top.attrs["xmlns"] = "urn:" + top.attrs["status"]
+        return [edit.propagate_namespaces(t)]
+
+    new = rewrite(orders(spark, sf_dir), declare)
+    return new.where("kind = 'element' and local in ('order', 'lineitem')").groupBy("doc_id", F.col("ns_uri").alias("ns")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# codecs
+
+_NATION = K.elem("nation", K.record(n_nationkey=K.attr("key", K.integer()), n_name=K.elem("name", K.text0()), n_regionkey=K.elem("region", K.integer())))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def pickle_roundtrip(spark, sf_dir):
+    xml = table(spark, sf_dir, "nation").select(K.encode_col(F.struct("n_nationkey", "n_name", "n_regionkey"), _NATION).alias("x"))
+    return xml.select(K.decode_col(F.col("x"), _NATION, "n_nationkey long, n_name string, n_regionkey long").alias("v")).select("v.n_nationkey", "v.n_name", "v.n_regionkey")
+
+
+@query("SELECT count(*) AS n, count(*) AS bad FROM nation")
+def pickle_errors(spark, sf_dir):
+    bad = table(spark, sf_dir, "nation").select(F.concat(F.lit("<nation key='x'><name>"), "n_name", F.lit("</name></nation>")).alias("x"))
+    got = bad.select(K.decode_col(F.col("x"), _NATION, "n_nationkey long, n_name string, n_regionkey long").alias("v"))
+    return got.agg(F.count(F.lit(1)).alias("n"), F.count("v.error").alias("bad"))
+
+
+# triples
+
+
+def nation_triples(spark, sf_dir):
+    one = F.format_string(
+        '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:x="http://x/"><rdf:Description rdf:about="http://n/%d"><x:name>%s</x:name><x:in rdf:resource="http://r/%d"/></rdf:Description></rdf:RDF>', "n_nationkey", "n_name", "n_regionkey"
+    )
+    docs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), one.alias("text"))
+    return rdf.triples(shred(docs, check_namespaces=True))
+
+
+@query("SELECT 'http://n/' || n_nationkey AS s, 'http://x/name' AS p, n_name AS o, 'literal' AS o_kind FROM nation UNION ALL SELECT 'http://n/' || n_nationkey, 'http://x/in', 'http://r/' || n_regionkey, 'uri' FROM nation")
+def rdf_triples(spark, sf_dir):
+    return nation_triples(spark, sf_dir).select("s", "p", "o", "o_kind")
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_regionkey = 1")
+def sparql_select(spark, sf_dir):
+    return rdf.select(nation_triples(spark, sf_dir), "PREFIX x: <http://x/> SELECT ?name WHERE { ?n x:in <http://r/1> ; x:name ?name }")
+
+
+@query("SELECT 'n' AS var, 'http://n/' || n_nationkey AS value FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'n', 'http://n/' || n_nationkey FROM nation UNION ALL SELECT 'name', n_name FROM nation")
+def sparql_bindings(spark, sf_dir):
+    return rdf.bindings(nation_triples(spark, sf_dir), "PREFIX x: <http://x/> SELECT ?n ?name WHERE { ?n x:in <http://r/1> ; x:name ?name }")
+
+
+# the rest
+
+
+@query("SELECT page_id, sha1(url) AS key, substring(sha1(url), 1, 2) || '/' || substring(sha1(url), 3) AS path FROM pages")
+def cache_sha1(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", cache.key(F.col("url")).alias("key"), cache.path_of(F.col("url")).alias("path"))
+
+
+@query("SELECT doc_id, replace(replace(text, chr(10), '|'), ' ', '_') AS v FROM documents")
+def normalize_newlines(spark, sf_dir):
+    made = F.replace(F.replace(F.col("text"), F.lit(" "), F.lit("_")), F.lit("\n"), F.lit("\r\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.replace(S.normalize_newlines(made), F.lit("\n"), F.lit("|")).alias("v"))
+
+
+@query("SELECT conv_id AS doc_id, string_agg(role, '>' ORDER BY turn, role, text) AS roles FROM conversations GROUP BY 1")
+def ordered_siblings(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    one = F.concat(F.lit('<turn role="'), S.escape_attr(F.col("role")), F.lit('">'), S.escape_text(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")), F.lit("</turn>"))
+    body = t.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", one.alias("x")))), lambda v: v["x"]), "").alias("b"))
+    nodes = shred(body.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("<conv>"), "b", F.lit("</conv>")).alias("text")))
+    items = nodes.where("name = 'turn'").select("doc_id", "sib", F.col("attrs")["role"].alias("role"))
+    return select.list_a(nodes.where("level = 0").select("doc_id"), items, ["doc_id"], "sib", "role").select("doc_id", F.array_join("items", ">").alias("roles"))

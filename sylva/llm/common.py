@@ -64,7 +64,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n + 1:
-        size = max(n, SEGMENT + (SEGMENT >> 2)) + 1
+        size = max(n + (n >> 2), 1 << 18) + 1
         _powers[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, x, np.uint64))), dtype=np.uint64) for x in (_MULT, _INV)]
     return _powers[0], _powers[1]
 
@@ -134,9 +134,9 @@ def word_bounds(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(word & (before | brk[:-1])), np.flatnonzero(word & (after | brk[1:])) + 1
 
 
-def words(b: np.ndarray, off: np.ndarray, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def words(b: np.ndarray, off: np.ndarray, lower: bool = False, size: int = SEGMENT) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For pieces of the rows: (first row, last row + 1, bytes, starts, ends, hashes, row of each word)."""
-    for i, j, s, e in segments(b, off):
+    for i, j, s, e in segments(b, off, size):
         part = lower_ascii(b[s:e]) if lower else b[s:e]
         own = np.clip(off[i : j + 1] - s, 0, e - s)
         starts, ends = word_bounds(part, own)

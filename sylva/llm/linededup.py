@@ -89,7 +89,7 @@ def repeated(docs: DataFrame, min_words: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """All columns and rows of docs, with text cut, and _deleted, the number of lines with a word that went."""
-    spans = repeated(docs, min_words).select(F.col("doc_id").alias("_sylva_i"), F.col("h").alias("_sylva_h"), F.col("spans").alias("_spans"))
+    spans = repeated(docs, min_words).select(F.col("doc_id").alias("_sylva_i"), F.col("h").alias("_sylva_h"), F.col("spans").alias("_sylva_spans"))
     rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_sylva_i"]) & (F.xxhash64(docs["text"]) == spans["_sylva_h"]), "left").drop("_sylva_i", "_sylva_h")
     at, last = docs.columns.index("text"), len(docs.columns)
     schema = StructType([*docs.schema.fields, StructField("_deleted", LongType())])

@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Tokens whose probabilities are computed at once.
+SLICE = 1 << 17
 END = np.uint64(0x5EED0FE0D0C5E4D1)
 #: Bins an octave of the likelihoods whose counts EM sees.
 FINE = 8
@@ -107,7 +109,7 @@ def chunks(docs: DataFrame, train: Column, deleted: int) -> DataFrame:
                 piece = batch.slice(k, 500)
                 b, off = common.text_buffer(piece.column(1))
                 n, hs, count = len(off) - 1, [], np.zeros(len(off) - 1, np.int64)
-                for _, _, _, _, _, h, row in common.words(b, off, lower=True):
+                for _, _, _, _, _, h, row in common.words(b, off, lower=True, size=SLICE << 2):
                     hs.append(h)
                     count += np.bincount(row, minlength=n)
                 t = np.insert(np.concatenate([np.zeros(0, np.uint64), *hs]), np.cumsum(count), END)
@@ -216,13 +218,16 @@ class Chunk:
             for col in (2, 3):
                 got = [r[col] for r in sorted((r for r in rows if r[0] == part + 10), key=lambda r: r[1])]
                 self.answers[part, col] = None if any(x is None for x in got) else np.concatenate([unpack_ints(x, np.uint64) for x in got]).astype(np.float64)
-        self.bigram = np.unique(bigrams(keys[self.id]), return_inverse=True)[1]
+        self.bigram = np.unique(bigrams(keys[self.id]), return_inverse=True)[1].astype(np.int32)
+        self.id = self.id.astype(np.int32)
 
-    def counts(self, aside: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of each token's context, of the token and of both; with aside, without the documents set aside."""
+    def counts(self, aside: bool):
+        """For slices of the tokens: where they begin, and the counts of each token's context, of the token and of both; with aside, without the documents set aside."""
         uni, bi = self.answers[0, 2 if aside else 3], self.answers[1, 2 if aside else 3]
-        context = np.concatenate(([self.end], self.id[:-1]))
-        return uni[context], uni[self.id], bi[self.bigram]
+        for k in range(0, len(self.id), SLICE):
+            own = self.id[k : k + SLICE]
+            context = np.concatenate(([self.id[k - 1] if k else self.end], own[:-1]))
+            yield k, uni[context], uni[own], bi[self.bigram[k : k + SLICE]]
 
 
 def by_chunk(table: DataFrame, answered: DataFrame, em_only: bool, run, schema: str) -> DataFrame:
@@ -244,6 +249,7 @@ def by_chunk(table: DataFrame, answered: DataFrame, em_only: bool, run, schema:
                 if held and row[0] != at:
                     yield from run(Chunk(held))
                     held = []
+                    pa.default_memory_pool().release_unused()
                 at = row[0]
                 held.append(row[1:])
         if held:
@@ -272,11 +278,12 @@ def learn(table: DataFrame, answered: DataFrame, n: float, v: float) -> tuple[fl
     names = ["k", "x", "y", "n"]
 
     def run(chunk: Chunk):
-        context, word, both = chunk.counts(True)
         size = lambda x: np.where(x > 0, np.round(np.log2(np.maximum(x, 1e-300)) * FINE), 1).astype(np.int64)
-        key = np.stack((bucket(context), size(both / np.maximum(context, 1)), size(word / max(n, 1))), axis=1)
-        keys, times = np.unique(key, axis=0, return_counts=True)
-        yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, k].astype(np.int64)) for k in range(3)), pa.array(times.astype(np.int64))], names)
+        for _, context, word, both in chunk.counts(True):
+            key = (bucket(context) << 40) | ((size(both / np.maximum(context, 1)) + 4096) << 20) | (size(word / max(n, 1)) + 4096)
+            keys, times = np.unique(key, return_counts=True)
+            cols = (keys >> 40, ((keys >> 20) & 0xFFFFF) - 4096, (keys & 0xFFFFF) - 4096, times)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names)
 
     rows = by_chunk(table, answered, True, run, "k long, x long, y long, n long").groupBy("k", "x", "y").agg(F.sum("n").alias("n")).toArrow()  # bins, whatever the corpus's size
     k, x, y, times = (rows.column(c).to_numpy() for c in range(4))
@@ -316,14 +323,16 @@ def score(docs: DataFrame, train: Column, deleted: int = 20) -> DataFrame:
     names = ["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(chunk: Chunk):
-        context, word, both = chunk.counts(False)
-        w = weights[bucket(context)]
-        low = m * word / max(n, 1) + (1 - m) / (v + 1)
-        p = w * both / np.maximum(context, 1) + (1 - w) * low
-        at = np.concatenate((np.zeros(1, np.int64), np.cumsum(chunk.size)[:-1]))
-        add = lambda x: np.add.reduceat(x, at)
-        yield pa.RecordBatch.from_arrays(
-            [chunk.doc_ids, pa.array(chunk.train), pa.array(chunk.size), pa.array(add((word > 0).astype(np.int64))), pa.array(np.full(len(at), int(n), np.int64)), pa.array(add(np.log10((word + 1) / (n + v + 1)))), pa.array(add(np.log10(p)))], names
-        )
+        doc = np.repeat(np.arange(len(chunk.size)), chunk.size)
+        known, base, total = (np.zeros(len(chunk.size)) for _ in range(3))
+        for k, context, word, both in chunk.counts(False):
+            own = doc[k : k + SLICE]
+            w = weights[bucket(context)]
+            low = m * word / max(n, 1) + (1 - m) / (v + 1)
+            p = w * both / np.maximum(context, 1) + (1 - w) * low
+            for to, x in ((known, word > 0), (base, np.log10((word + 1) / (n + v + 1))), (total, np.log10(p))):
+                to += np.bincount(own, weights=x, minlength=len(to))
+        tokens = np.full(len(chunk.size), int(n), np.int64)
+        yield pa.RecordBatch.from_arrays([chunk.doc_ids, pa.array(chunk.train), pa.array(chunk.size), pa.array(known.astype(np.int64)), pa.array(tokens), pa.array(base), pa.array(total)], names)
 
     return by_chunk(table, answered, False, run, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -152,7 +152,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end: int = 1, with_ids:
             cols = [*batch.columns[:5], pa.array(slots[at, 2] + rank - slots[at, 1]), pa.array(slots[at, 3]), *batch.columns[6:]]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    rows = table.join(sizes.select("part", "length", "before"), ["part", "length"])
+    rows = table.join(sizes.select("part", "length", "before").hint("merge"), ["part", "length"])  # grows with the tasks: no broadcast
     rows = rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("before")).alias("rank"), *["ids"] * with_ids)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids)

@@ -21,7 +21,8 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 SECRET = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
-ENDPOINT = r"""(?:[a-z][a-z0-9+]{1,15}://[^\x00-\x20"'<>|]+|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|io|dev|cloud)(?::[0-9]+)?(?![A-Za-z0-9-])|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.]))"""
+#: A host name has 127 labels at most; the bound also keeps the matcher's recursion shallow in very long dotted runs.
+ENDPOINT = r"""(?:[a-z][a-z0-9+]{1,15}://[^\x00-\x20"'<>|]+|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+){0,126}\.(?:com|net|org|io|dev|cloud)(?::[0-9]+)?(?![A-Za-z0-9-])|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.]))"""
 ACCOUNT = r"""(?<![A-Za-z])(?i:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})"""
 #: In the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "secret", "account", "endpoint")

@@ -285,7 +285,8 @@ def learn(table: DataFrame, answered: DataFrame, n: float, v: float) -> tuple[fl
             cols = (keys >> 40, ((keys >> 20) & 0xFFFFF) - 4096, (keys & 0xFFFFF) - 4096, times)
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names)
 
-    rows = by_chunk(table, answered, True, run, "k long, x long, y long, n long").groupBy("k", "x", "y").agg(F.sum("n").alias("n")).toArrow()  # bins, whatever the corpus's size
+    bins = common.write_table(by_chunk(table, answered, True, run, "k long, x long, y long, n long").groupBy("k", "x", "y").agg(F.sum("n").alias("n")), "bins")
+    rows = bins.toArrow()  # bins, whatever the corpus's size
     k, x, y, times = (rows.column(c).to_numpy() for c in range(4))
     p = lambda z: np.where(z > 0, 0.0, 2.0 ** (np.minimum(z, 0) / FINE))
     uniform = np.full(len(times), 1 / (v + 1))
@@ -335,4 +336,5 @@ def score(docs: DataFrame, train: Column, deleted: int = 20) -> DataFrame:
         tokens = np.full(len(chunk.size), int(n), np.int64)
         yield pa.RecordBatch.from_arrays([chunk.doc_ids, pa.array(chunk.train), pa.array(chunk.size), pa.array(known.astype(np.int64)), pa.array(tokens), pa.array(base), pa.array(total)], names)
 
-    return by_chunk(table, answered, False, run, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    found = by_chunk(table, answered, False, run, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return common.write_table(found, "scores")  # a narrow table; written, so that a chunk's megabytes go to Python in small batches

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import codecs
 import mimetypes
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -128,12 +131,19 @@ def shred(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mime: str
     A null id stays null; a null text is empty. Each document is parsed in one task, and no document's rows move.
     """
     o = ReadOptions(**options)
+    direct = o == ReadOptions(warnings=o.warnings, encoding_errors=o.encoding_errors, input_encoding=o.input_encoding, base_uri=o.base_uri)
     cols = [F.col(doc_id).cast("long").alias("_i"), F.col(text).alias("_t"), (F.col(mime) if mime else F.lit(None)).cast("string").alias("_m")]
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
             for i, t, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if direct and (found := xml.xml_rows(i, normalize_newlines(t or ""))) is not None:
+                    out.extend(found)
+                    if len(out) > 20_000:
+                        yield model.batch(out)
+                        out = []
+                    continue
                 tree, problems = parse(t, o, m)
                 for level, message in problems:
                     if level > 1 or o.warnings:
@@ -148,6 +158,30 @@ def shred(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mime: str
     return docs.select(*cols).mapInArrow(run, NODE)
 
 
+def store(nodes: DataFrame) -> DataFrame:
+    """Writes a node table as Parquet into the folder of spark.checkpoint.dir (a temporary one where none is set) and reads it back.
+
+    Documents are parsed once, however many joins follow, and each join's scan reads only its columns, with kind and name pushed down.
+    Deleted when Python exits.
+    """
+    spark = nodes.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_sylva_nodes", None)
+    if base is None:
+        base = spark._sylva_nodes = "file://" + tempfile.mkdtemp(prefix="sylva-nodes-")
+    path = f"{base.rstrip('/')}/nodes-{uuid.uuid4().hex[:12]}"
+    nodes.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(nodes.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the session has gone; its folder goes with it
+        return
+
+
 def read_documents(spark: SparkSession, path: str, **options) -> DataFrame:
     """The documents under a path: uri, mime, text and encoding problem. Contents come from Spark's binary reader, so any store will do."""
     o = ReadOptions(**options)

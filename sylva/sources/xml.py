@@ -22,6 +22,62 @@ def _model(m) -> str:
     return "(" + ("|" if kind == 5 else ",").join(_model(x) for x in inner) + ")" + mark
 
 
+def xml_rows(doc_id: int | None, source: str) -> list[list] | None:
+    """NODE rows of a document as the rows of its canonical tree, made from expat's events without a tree in between.
+
+    None where a tree is needed: with a document type, or if the text is not well formed.
+    """
+    if "<!DOCTYPE" in source:
+        return None
+    out = [[doc_id, 0, 0, 0, 0, None, 0, "root", "", "/", "", "/", None, None]]
+    up, count, held = [0], [0], []
+    names: dict[str, tuple[str, str]] = {}
+
+    def leaf(kind, name, value):
+        pre = len(out)
+        prefix, local = (None, None) if name is None else (name.split(":", 1)[0] if ":" in name else "", name.split(":", 1)[-1])
+        out.append([doc_id, pre, pre, 0, len(up), up[-1], count[-1], kind, prefix, local, None if name is None else "", name, value, None])
+        count[-1] += 1
+
+    def settle():
+        leaf("text", None, held[0] if len(held) == 1 else "".join(held))
+        held.clear()
+
+    def start(name, attrs):
+        if held:
+            settle()
+        own = names.get(name)
+        if own is None:
+            own = names[name] = (name.split(":", 1)[0] if ":" in name else "", name.split(":", 1)[-1])
+        pre = len(out)
+        out.append([doc_id, pre, pre, 0, len(up), up[-1], count[-1], "element", own[0], own[1], "", name, None, attrs or None])
+        count[-1] += 1
+        up.append(pre)
+        count.append(0)
+
+    def end(_):
+        if held:
+            settle()
+        count.pop()
+        pre = up.pop()
+        out[pre][3] = len(out) - pre - 1
+
+    def instruction(target, data):
+        if held:
+            settle()
+        leaf("pi", target, data)
+
+    p = expat.ParserCreate()
+    p.buffer_text = True
+    p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler, p.ProcessingInstructionHandler = start, end, held.append, instruction
+    try:
+        p.Parse(source, True)
+    except expat.ExpatError:
+        return None
+    out[0][3] = len(out) - 1
+    return out
+
+
 def parse_xml(source: str | None, fragment: bool = False, keep_cdata: bool = True) -> tuple[Node, list[tuple[int, str]]]:
     """A tree and (level, message) problems. Text that is not well formed gives an empty root and one fatal problem (level 3)."""
     top = root()

@@ -170,6 +170,15 @@ def test_token_ids(texts, name):
         assert [x.tolist() for x in enc.documents(pa.array(texts), 1)] == [plain_ids(name, t) + [1] for t in texts]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_direct_units(name):
+    rng = random.Random(5)
+    some = ["".join(rng.choice("aAzZéÉßÿŸñİıſ .,;:!?'-’\u0301ªºµ1½\n") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    enc = tokens.Encoder(public_tokenizers.path(name))
+    assert enc.tokenize is not None
+    assert [x.tolist() for x in enc.documents(pa.array(some), 1)] == [plain_ids(name, t) + [1] for t in some]
+
+
 def test_huffman_codes():
     r = np.random.default_rng(1)
     for counts in (r.integers(0, 50, 300), 2 ** np.arange(30), np.array([0, 0, 7]), np.array([1, 1]), np.zeros(4, int)):
@@ -258,6 +267,9 @@ def test_secrets(spark, docs, empty):
     assert by[1004]["spans"] == "access:0:20,secret:21:61,endpoint:65:89" and by[1004]["n_linked"] == 2
     assert by[1005]["spans"].startswith("access:") and by[1005]["n_linked"] == 0  # too far apart
     assert secrets.scan(empty).collect() == []
+    head = tail[:20]
+    deep = spark.createDataFrame([(1, f"{head} " + "a." * 60_000 + " x"), (2, f"{head} " + "Aa1" * 100_000), (3, f"{head} user=" + "a" * 200_000 + " token=" + "b-" * 100_000)], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_access"], r["n_assign"]) for r in secrets.scan(deep).collect()} == {1: (1, 0), 2: (1, 0), 3: (1, 1)}
     plan = secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 

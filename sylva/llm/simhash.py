@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -207,10 +207,20 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
     return found.join(least, "component").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def place() -> Column:
+    """What orders the rows of a table with doc_id and h: the id, a null one last, then the hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("h").alias("h"))
+
+
+def rows_at(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """A row of docs for each (i, h) of kept, an id or null and the hash of a text. Groups may share an id or have none, so both tell rows apart."""
+    kept = kept.select(F.col("i").alias("_sylva_i"), F.col("h").alias("_sylva_h"))
+    rows = docs.withColumn("_sylva_x", F.xxhash64("text"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_sylva_i"]) & (rows["_sylva_x"] == kept["_sylva_h"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_sylva_x"]).drop("_sylva_x")
+
+
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     """One row of each group, that of the smallest id (a null id comes last), with all its columns."""
-    found = groups(docs, words, max_bits)
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("h").alias("h"))).alias("k"))
-    kept = kept.select(F.col("k.i").alias("_i"), F.col("k.h").alias("_h")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_i"]) & (F.xxhash64(docs["text"]) == kept["_h"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if rows.columns else rows
+    kept = groups(docs, words, max_bits).groupBy("component").agg(F.min(place()).alias("k"))
+    return rows_at(docs, kept.select("k.i", "k.h"))

@@ -413,6 +413,15 @@ def test_simhash(docs, empty):
     assert one.columns == docs.columns and one.count() == len(set(root[x] for x in fp.values()))
 
 
+def test_groups_that_share_an_id(spark):
+    """Groups without ids, and rows of one id with different texts, keep a row each; equal rows are one."""
+    r = random.Random(12)
+    rows = [(k, prose(r, 60)) for k in [None] * 6 + [7] * 3 + [8]]
+    df = spark.createDataFrame([*rows, rows[0], rows[6], (9, rows[1][1])], "doc_id long, text string").repartition(3)
+    want = Counter([rows[0], (9, rows[1][1]), *rows[2:]])
+    assert Counter(rows_of(simhash.keep_one(df))) == want
+
+
 @pytest.mark.parametrize("table", [1 << 11, 8])
 def test_bucket_links(monkeypatch, table):
     """All links between near fingerprints, also by the finer buckets of a large one."""

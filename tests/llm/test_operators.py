@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sylva.llm import common, decontaminate, html_text, huffman, langid, linededup, lm, packing, quality, queries, secrets, simhash, tokens
+from sylva.llm import common, decontaminate, html_text, huffman, langid, linededup, lm, neardup, packing, quality, queries, secrets, simhash, tokens
 
 WORDS = [a + b for a in ("ba", "ko", "ti", "mu", "re", "so") for b in ("n", "lo", "ra", "st", "ve", "x")]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, key int, _spans string, fp string, u string"
@@ -422,6 +422,44 @@ def test_groups_that_share_an_id(spark):
     assert Counter(rows_of(simhash.keep_one(df))) == want
 
 
+def brute_sets(t):
+    w = low(t).split() if t and t.isascii() else ws_words(low(t))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} - {()}
+
+
+def test_near_duplicates_by_shingles(spark, docs, empty, monkeypatch):
+    """The groups of all pairs with a similarity of 0.8, by brute force, for edits on both sides of the threshold."""
+    r = random.Random(13)
+    rows = []
+    for k in range(12):
+        w = prose(r, r.randint(50, 160)).split()
+        for n in range(5):
+            own = w[:]
+            for at in r.sample(range(len(w)), n * len(w) // 120 + n // 2):
+                own[at] = "edit"
+            rows.append((None if n == 1 else 10 * k + n, " ".join(own)))
+    stock = prose(r, 12)
+    rows += [(500 + k, f"{stock} {prose(r, 40)} {stock}") for k in range(12)]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = {t: brute_sets(t) for _, t in rows_of(df)}
+    texts = list(sets)
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[texts[i]], sets[texts[j]])]
+    root = union_find(range(len(texts)), pairs)
+    want = Counter(root.values()).keys()
+    assert len(want) < len(texts) - 20
+    at = {t: root[k] for k, t in enumerate(texts)}
+    for frequent in (4, 2):  # the order of shingles bears on no result
+        monkeypatch.setattr(neardup, "FREQUENT", frequent)
+        got = rows_of(neardup.keep_one(df))
+        assert sorted(at[t] for _, t in got) == sorted(want)
+        for i, t in got:
+            ids = [x for x, y in rows_of(df) if at[y] == at[t] and x is not None]
+            assert i == min(ids, default=None)
+    assert neardup.keep_one(docs).columns == docs.columns
+    assert neardup.keep_one(empty).collect() == []
+
+
 @pytest.mark.parametrize("table", [1 << 11, 8])
 def test_bucket_links(monkeypatch, table):
     """All links between near fingerprints, also by the finer buckets of a large one."""

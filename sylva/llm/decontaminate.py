@@ -2,9 +2,10 @@
 
 Words are lower-cased runs of letters and digits. Every n-gram (four words) of a test item is a seed; one pass over all
 documents finds the seeds' positions and keeps, for each document and item, the words around each cluster of
-diagonals. The seeds' document counts come from these hits. A candidate needs a rare seed (in at most
-`rare` of the documents) or two hits; so a passage that thousands of documents share is still found, and a stock phrase is
-not aligned everywhere. Alignment scores +1 for a match and -1 for a mismatch or gap; a pair is reported if the score is at least
+diagonals. The seeds' document counts come from these hits. A candidate with a rare seed (in at most
+`rare` of the documents) or two seeds is aligned; one with a single frequent seed is aligned too where its window holds so many of
+the item's words that it may reach the threshold (no loss). So the verdict on a document does not depend on its number of copies, and
+a stock phrase is not aligned everywhere. Alignment scores +1 for a match and -1 for a mismatch or gap; a pair is reported if the score is at least
 `threshold` of the item's length. A copy with one word in five replaced keeps a run of four words, so it has a seed.
 
 Items shorter than n words are one seed as a whole. Items come in blocks of at most BLOCK_WORDS words, a size that is
@@ -126,6 +127,16 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, lo, hi
 
 
+def most(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """An upper bound of the alignment scores of an item and each window: the item's words that occur in the window."""
+    own, times = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(own, windows), len(own) - 1)
+    row, col = np.nonzero(own[at] == windows)
+    held = np.zeros((len(windows), len(own)), bool)
+    held[row, at[row, col]] = True
+    return held @ times
+
+
 def candidates(docs: DataFrame, items: Items) -> DataFrame:
     """A written table of clusters of hits: doc_id, row key, item, first word, words (window) and seeds."""
     shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_WORDS words
@@ -174,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
     for items in blocks(benchmark, n):
         total = docs.count() if total is None else total
         rows = candidates(docs, items)
-        many = rows.select("u", F.explode("seeds").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1.0, rare * total))
+        many = rows.select("u", F.explode("seeds").alias("s")).distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1.0, rare * total))
         common_seeds = frozenset(r[0] for r in many.collect())  # at most a block's seeds
         part = _aligned(rows, items, common_seeds, threshold, schema)
         found = part if found is None else found.union(part)
@@ -189,13 +200,13 @@ def _aligned(rows: DataFrame, items: Items, common_seeds: frozenset, threshold:
         for batch in batches:
             doc, key, item, first, words, seeds = (batch.column(k) for k in range(6))
             item, first, words = item.to_pylist(), first.to_pylist(), words.to_pylist()
-            groups: dict[tuple[int, int], list[int]] = defaultdict(list)
+            groups: dict[tuple[int, int, bool], list[int]] = defaultdict(list)
             for k, s in enumerate(seeds.to_pylist()):
-                if len(s) > 1 or s[0] not in frequent or len(items.words[item[k]]) <= items.n:
-                    groups[item[k], -(-len(words[k]) // 256)].append(k)
+                sure = len(s) > 1 or s[0] not in frequent or len(items.words[item[k]]) <= items.n
+                groups[item[k], -(-len(words[k]) // 256), sure].append(k)
             best: dict[tuple, tuple] = {}
             keys = key.to_pylist()
-            for (i, size), own in groups.items():
+            for (i, size, sure), own in groups.items():
                 wide = size * 32
                 for c in range(0, len(own), 256):
                     part = own[c : c + 256]
@@ -203,6 +214,11 @@ def _aligned(rows: DataFrame, items: Items, common_seeds: frozenset, threshold:
                     for k, x in enumerate(part):
                         w = np.frombuffer(words[x], np.uint64)
                         grid[k, : len(w)] = w
+                    if not sure:
+                        may = np.flatnonzero(most(items.words[i], grid) >= threshold * len(items.words[i]) - 1e-9)
+                        part, grid = [part[k] for k in may.tolist()], grid[may]
+                        if not part:
+                            continue
                     score, lo, hi = align(items.words[i], grid)
                     score = score / len(items.words[i])
                     for k in np.flatnonzero(score >= threshold - 1e-9).tolist():

@@ -137,6 +137,19 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
 
 
+def test_decontamination_of_frequent_copies(spark):
+    """A copy that keeps one run of four words is found however many documents carry it; a stock phrase alone is not."""
+    r = random.Random(15)
+    item = [f"w{k}" for k in range(16)]
+    copy = [f"x{k}" if k in (3, 8, 12) else w for k, w in enumerate(item)]  # 13 words less 3; the run from 4 to 7 is its one seed
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    rows = [(k, f"{prose(r, 30)} {' '.join(copy)} {prose(r, 30)}") for k in range(5)]
+    rows += [(10 + k, f"{prose(r, 30)} {' '.join(item[4:8])} {prose(r, 30)}") for k in range(5)]
+    for n in (1, 5):
+        df = spark.createDataFrame([x for x in rows if x[0] < n or x[0] >= 10], "doc_id long, text string")
+        assert {x["doc_id"] for x in decontaminate.contaminated(df, bench).collect()} == set(range(n))
+
+
 def smith_waterman(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):

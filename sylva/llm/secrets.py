@@ -2,7 +2,7 @@
 
 Matches of a pattern are found once a text; the lengths of what lies between them (split by the same pattern) give
 their code-point positions by a running sum. Base kinds (assign, access, hex) are always reported. Weak kinds
-are sought only in texts with an access identifier and reported only when complementary parts lie in scope, that is,
+are sought only in texts with an access identifier or an account, as none links without, and reported only when complementary parts lie in scope, that is,
 begin within `scope` code points: a bare secret (40 mixed characters) with an access identifier or account; an
 account with a secret and an endpoint; an endpoint with a secret and an access identifier or account. The
 interval join of parts is a range frame over positions in a text, which makes no pairs.
@@ -51,7 +51,7 @@ def scan(docs: DataFrame, scope: int = 256) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_linked for every document."""
     text = F.col("_text")
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    multi = text.contains("AKIA")
+    multi = text.contains("AKIA") | text.rlike(ACCOUNT)
     parts = F.concat(
         _parts(text, "assign", ASSIGN, text.rlike(ASSIGN), 2, 6),
         _parts(text, "access", ACCESS, multi, 0, 20),

@@ -287,6 +287,13 @@ def test_secrets(spark, docs, empty):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_secrets_without_access_identifier(spark):
+    rows = [(0, "user=deploy password=hunter2x https://db.example.com"), (1, "password=hunter2x https://db.example.com"), (2, "login: deploy at https://db.example.com")]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["spans"] == "account:0:11,assign:12:29,endpoint:30:52" and got[0]["n_linked"] == 2
+    assert got[1]["n_linked"] == got[2]["n_linked"] == 0
+
+
 def test_packing(docs, empty):
     path, window = public_tokenizers.path("byte_bpe_50k.json"), 64
     got = packing.pack(docs, path, window, with_ids=True).collect()

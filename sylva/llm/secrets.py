@@ -3,9 +3,9 @@
 Matches of a pattern are found once a text; the lengths of what lies between them (split by the same pattern) give
 their code-point positions by a running sum. Base kinds (assign, access, hex) are always reported. Weak kinds
 are sought only in texts with an access identifier or an account, as none links without, and reported only when complementary parts lie in scope, that is,
-begin within `scope` code points: a bare secret (40 mixed characters) with an access identifier or account; an
+with at most `scope` code points between the end of one and the start of the other: a bare secret (40 mixed characters) with an access identifier or account; an
 account with a secret and an endpoint; an endpoint with a secret and an access identifier or account. The
-interval join of parts is a range frame over positions in a text, which makes no pairs.
+interval join of parts is a running maximum of ends and a minimum of starts over positions in a text, which makes no pairs.
 
 Defined cases: a null text is empty. Every input row gives one row, repeated rows and null ids too. A text without
 spans has empty strings and the hash of the empty string. Only doc_id and text are read. One shuffle of narrow
@@ -67,8 +67,14 @@ def scan(docs: DataFrame, scope: int = 256) -> DataFrame:
     placed = placed.where(F.col("ok") | F.col("kind").isNull() | (F.col("k") == 0))  # a text whose matches all fail keeps a row
     kind, start = F.when(F.col("ok"), F.col("kind")), F.col("_end") - F.col("len")
     placed = placed.select("doc_id", "_u", kind.alias("kind"), start.alias("start"), F.col("_end").alias("end"))
-    near = Window.partitionBy("_u").orderBy("start").rangeBetween(-scope, scope)
-    some = lambda *names: F.sum(F.col("kind").isin([KINDS.index(x) for x in names]).cast("int")).over(near) > 0
+    before = Window.partitionBy("_u").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("_u").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)  # a frame that only grows
+
+    def some(*names):
+        ours = F.col("kind").isin([KINDS.index(x) for x in names])
+        left, right = F.max(F.when(ours, F.col("end"))).over(before), F.min(F.when(ours, F.col("start"))).over(after)
+        return F.coalesce(F.col("start") - left <= scope, F.lit(False)) | F.coalesce(right - F.col("end") <= scope, F.lit(False))
+
     placed = placed.select("*", some("access", "account").alias("_id"), some("assign", "hex", "secret").alias("_secret"), some("endpoint").alias("_at"), some("access").alias("_key"))
     linked = (
         (F.col("kind") <= 2)

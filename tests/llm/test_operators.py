@@ -294,6 +294,14 @@ def test_secrets_without_access_identifier(spark):
     assert got[1]["n_linked"] == got[2]["n_linked"] == 0
 
 
+def test_secrets_scope_is_the_gap(spark):
+    long = "token=" + "Ab1." * 150
+    texts = [f"{long} user=deploy https://db.example.com", f"user=deploy https://db.example.com {long}"]
+    texts += [f"{long}{' ' * n}user=deploy https://db.example.com" for n in (256, 257)]
+    got = {r["doc_id"]: r["n_linked"] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 2, 1: 2, 2: 1, 3: 0}  # the endpoint is out of the token's scope in the last two
+
+
 def test_packing(docs, empty):
     path, window = public_tokenizers.path("byte_bpe_50k.json"), 64
     got = packing.pack(docs, path, window, with_ids=True).collect()

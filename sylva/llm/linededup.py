@@ -1,4 +1,6 @@
-"""Line dedup by winnowing: runs of lines that occur earlier in the corpus are deleted.
+"""Line dedup by exact hashes of windows: runs of lines that occur earlier in the corpus are deleted.
+
+This is not winnowing, which selects one minimum a window and extends matches: here each window is kept and compared whole.
 
 A line's hash is that of its words, in lower case and with single spaces. A window is the shortest run of
 lines from a line on (and up to a line) that has min_words words; its fingerprint is its smallest line hash, mixed with the hash of

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
@@ -21,6 +22,8 @@ _INV = pow(_MULT, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(20240817)).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
 SEGMENT = 2 << 20
 BATCH_BYTES = 8 << 20
+#: Bits of the filter that tells most rows apart from those of a table of keys.
+FILTER = 1 << 23
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _powers: list[np.ndarray] = []
@@ -32,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where none is set (tests), a temporary one is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_sylva_scratch", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="sylva-")
@@ -65,6 +70,26 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parted(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs that are certainly not among keys, and the others with _sylva_x, the hash of their text.
+
+    keys: a written table with i, an id or null, and h, the hash of a text; both tell rows apart, as ids may repeat or be null. A filter
+    of FILTER bits decides (FILTER / 64 rows at most, so that it can be broadcast); so whole texts are dealt for little more than the rows that a
+    join with keys concerns. A full filter passes nothing over: that costs time, never rows.
+    """
+    at = lambda *c: F.pmod(F.xxhash64(*c), F.lit(FILTER))
+    words = keys.select(at("i", "h").alias("b")).groupBy(F.shiftright("b", 6).alias("_sylva_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("_sylva_m"))
+    rows = docs.withColumn("_sylva_x", F.xxhash64("text"))
+    rows = rows.withColumn("_sylva_b", at("doc_id", "_sylva_x")).withColumn("_sylva_w", F.shiftright("_sylva_b", 6)).join(F.broadcast(words), "_sylva_w", "left")
+    hit = F.coalesce(F.expr("shiftright(_sylva_m, cast(_sylva_b & 63 as int)) & 1 = 1"), F.lit(False))
+    return rows.where(~hit).select(*docs.columns), rows.where(hit).select(*docs.columns, "_sylva_x")
+
+
+def same_row(rows: DataFrame, keys: DataFrame):
+    """Whether a row of parted() and one of keys have the same id, null included, and text."""
+    return rows["doc_id"].eqNullSafe(keys["_sylva_i"]) & (rows["_sylva_x"] == keys["_sylva_h"])
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0xBF58476D1CE4E5B9)

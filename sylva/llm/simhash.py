@@ -201,10 +201,17 @@ def groups(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the group's smallest doc_id) for every document."""
-    found = common.write_table(groups(docs, words, max_bits), "groups")
-    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "component").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    """doc_id, fingerprint (16 hex digits) and component_id (the group's smallest doc_id) for every document.
+
+    The smallest ids are sought by fingerprint, then by component of distinct fingerprints; both tables are written, so that the joins can split a large group.
+    """
+    table = common.write_table(fingerprint_table(docs, words), "fingerprints")
+    least = table.groupBy("fp").agg(F.min("doc_id").alias("i"))
+    roots = components(links(table.select("fp").distinct(), max_bits)).select(F.col("node").alias("fp"), "root")
+    own = common.write_table(least.join(roots, "fp", "left").select("fp", "i", F.coalesce("root", "fp").alias("component")), "components")
+    first = common.write_table(own.groupBy("component").agg(F.min("i").alias("component_id")), "least")
+    named = common.write_table(own.join(first, "component").select("fp", "component_id"), "named")
+    return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def place() -> Column:
@@ -212,15 +219,19 @@ def place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("h").alias("h"))
 
 
-def rows_at(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """A row of docs for each (i, h) of kept, an id or null and the hash of a text. Groups may share an id or have none, so both tell rows apart."""
-    kept = kept.select(F.col("i").alias("_sylva_i"), F.col("h").alias("_sylva_h"))
-    rows = docs.withColumn("_sylva_x", F.xxhash64("text"))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_sylva_i"]) & (rows["_sylva_x"] == kept["_sylva_h"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_sylva_x"]).drop("_sylva_x")
+def rows_at(docs: DataFrame, table: DataFrame, kept: DataFrame) -> DataFrame:
+    """A row of docs for each k (a place) of kept, with all its columns. table: doc_id and h of every row of docs. Groups may share an id or have none, so both tell rows apart."""
+    kept = kept.select(F.col("k.i").alias("_i"), F.col("k.h").alias("_h"), F.lit(True).alias("keep"))
+    rows = table.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("c"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_i"]) & (rows["h"] == kept["_h"]), "left")
+    odd = common.write_table(rows.where(F.col("keep").isNull() | (F.col("c") > 1)).select(F.col("doc_id").alias("i"), "h", "keep"), "odd")  # rows that go or repeat
+    rest, hit = common.parted(docs, odd)
+    odd = odd.select(F.col("i").alias("_sylva_i"), F.col("h").alias("_sylva_h"), F.coalesce("keep", F.lit(False)).alias("_sylva_keep"))
+    hit = hit.join(odd, common.same_row(hit, odd), "left").where(F.coalesce("_sylva_keep", F.lit(True))).dropDuplicates(["doc_id", "_sylva_x"])
+    return rest.union(hit.select(*docs.columns))
 
 
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     """One row of each group, that of the smallest id (a null id comes last), with all its columns."""
-    kept = groups(docs, words, max_bits).groupBy("component").agg(F.min(place()).alias("k"))
-    return rows_at(docs, kept.select("k.i", "k.h"))
+    found = common.write_table(groups(docs, words, max_bits), "groups")
+    return rows_at(docs, found, found.groupBy("component").agg(F.min(place()).alias("k")))

@@ -8,7 +8,8 @@ the item's words that it may reach the threshold (no loss). So the verdict on a
 a stock phrase is not aligned everywhere. Alignment scores +1 for a match and -1 for a mismatch or gap; a pair is reported if the score is at least
 `threshold` of the item's length. A copy with one word in five replaced keeps a run of four words, so it has a seed.
 
-Items shorter than n words are one seed as a whole. Items come in blocks of at most BLOCK_WORDS words, a size that is
+Items shorter than n words are one seed as a whole; one of more than PART_WORDS words is cut into even parts, and aligning with a part is enough, so that
+neither a block nor an alignment grows with an item. Items come in blocks of at most BLOCK_WORDS words, a size that is
 counted while they are read; each block is one pass over the documents. Defined cases: items and documents that are null, empty or
 without words match nothing. Repeated rows of documents give repeated pairs; equal items each give a pair. Null
 ids stay null. Only doc_id and text, item_id and text are read.
@@ -27,6 +28,9 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_WORDS = 1 << 18
+PART_WORDS = 1 << 13
+#: Cells of the grid of windows that are aligned at once.
+GRID = 1 << 20
 _WORD = np.arange(256, dtype=np.uint8)
 _WORD[:128] = 32
 _WORD[48:58] = np.arange(48, 58)
@@ -60,7 +64,10 @@ class Items:
     def __init__(self, ids: list, texts: list[str | None], n: int):
         h, at = word_hashes(pa.array(texts, pa.string()))
         self.ids, self.n = ids, n
-        self.words = [h[at[k] : at[k + 1]] for k in range(len(ids))]
+        self.words, self.of = [], []  # parts, and the item that each belongs to
+        for k in range(len(ids)):
+            for part in np.array_split(h[at[k] : at[k + 1]], max(1, -(-int(at[k + 1] - at[k]) // PART_WORDS))):
+                self.words.append(part), self.of.append(k)
         self.posts: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.short: dict[int, list[tuple[int, int]]] = defaultdict(list)  # items of fewer than n words, by length
         for k, w in enumerate(self.words):
@@ -90,7 +97,7 @@ def blocks(benchmark: DataFrame, n: int) -> Iterator[Items]:
     for r in benchmark.select("item_id", "text").toLocalIterator():
         ids.append(r[0]), texts.append(r[1])
         size += len(r[1] or "") // 2 + 1
-        if size > BLOCK_WORDS:
+        if size > BLOCK_WORDS:  # by its last item alone it may be larger
             yield Items(ids, texts, n)
             ids, texts, size = [], [], 0
     if ids:
@@ -138,16 +145,16 @@ def most(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, items: Items) -> DataFrame:
-    """A written table of clusters of hits: doc_id, row key, item, first word, words (window) and seeds."""
+    """A written table of clusters of hits: doc_id, hash of the text, row key, item, first word, words (window) and seeds."""
     shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_WORDS words
-    names = ["doc_id", "u", "item", "first", "words", "seeds"]
+    names = ["doc_id", "h", "u", "item", "first", "words", "seeds"]
 
     def run(batches):
         items = shared.value
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 piece = batch.slice(k, 2000)
-                h, at = word_hashes(piece.column(2))
+                h, at = word_hashes(piece.column(3))
                 by: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
                 for r, p, s in items.hits(h, at):
                     for item, q in items.posts[s]:
@@ -170,35 +177,40 @@ def candidates(docs: DataFrame, items: Items) -> DataFrame:
                 if out[0]:
                     take = pa.array(out[0], pa.int64())
                     seeds = pa.array([np.array(x, np.uint64).view(np.int64).tolist() for x in out[4]], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([piece.column(0).take(take), piece.column(1).take(take), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), seeds], names)
+                    yield pa.RecordBatch.from_arrays([*(piece.column(c).take(take) for c in range(3)), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), seeds], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("u"), "text")
-    return common.write_table(rows.mapInArrow(run, f"doc_id {kind}, u long, item int, first long, words binary, seeds array<long>"), "candidates")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("u"), "text")
+    return common.write_table(rows.mapInArrow(run, f"doc_id {kind}, h long, u long, item int, first long, words binary, seeds array<long>"), "candidates")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.6, rare: float = 0.001) -> DataFrame:
-    """doc_id, item_id, score (share of the item's length), first_word and end_word (of the document's words) for each document and item that align."""
+def _found(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float, rare: float) -> DataFrame:
+    """The columns of contaminated() and h, the hash of the document's text."""
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, score double, first_word long, end_word long"
     total, found = None, None
     for items in blocks(benchmark, n):
         total = docs.count() if total is None else total
         rows = candidates(docs, items)
         many = rows.select("u", F.explode("seeds").alias("s")).distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1.0, rare * total))
         common_seeds = frozenset(r[0] for r in many.collect())  # at most a block's seeds
-        part = _aligned(rows, items, common_seeds, threshold, schema)
+        part = _aligned(rows, items, common_seeds, threshold, item_kind)
         found = part if found is None else found.union(part)
+    schema = f"doc_id {kind}, h long, item_id {item_kind}, score double, first_word long, end_word long"
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
-def _aligned(rows: DataFrame, items: Items, common_seeds: frozenset, threshold: float, schema: str) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.6, rare: float = 0.001) -> DataFrame:
+    """doc_id, item_id, score (share of the item's length), first_word and end_word (of the document's words) for each document and item that align."""
+    return _found(docs, benchmark, n, threshold, rare).drop("h")
+
+
+def _aligned(rows: DataFrame, items: Items, common_seeds: frozenset, threshold: float, item_kind: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast((items, common_seeds))
 
     def run(batches):
         items, frequent = shared.value
         for batch in batches:
-            doc, key, item, first, words, seeds = (batch.column(k) for k in range(6))
+            doc, text, key, item, first, words, seeds = (batch.column(k) for k in range(7))
             item, first, words = item.to_pylist(), first.to_pylist(), words.to_pylist()
             groups: dict[tuple[int, int, bool], list[int]] = defaultdict(list)
             for k, s in enumerate(seeds.to_pylist()):
@@ -208,8 +220,9 @@ def _aligned(rows: DataFrame, items: Items, common_seeds: frozenset, threshold:
             keys = key.to_pylist()
             for (i, size, sure), own in groups.items():
                 wide = size * 32
-                for c in range(0, len(own), 256):
-                    part = own[c : c + 256]
+                step = max(1, min(256, GRID // wide))
+                for c in range(0, len(own), step):
+                    part = own[c : c + step]
                     grid = np.zeros((len(part), wide), np.uint64)
                     for k, x in enumerate(part):
                         w = np.frombuffer(words[x], np.uint64)
@@ -224,27 +237,28 @@ def _aligned(rows: DataFrame, items: Items, common_seeds: frozenset, threshold:
                     for k in np.flatnonzero(score >= threshold - 1e-9).tolist():
                         x = part[k]
                         new = (float(score[k]), -(first[x] + int(lo[k])), -(first[x] + int(hi[k])), x)
-                        if new > best.get((keys[x], i), (0,)):
-                            best[keys[x], i] = new
+                        if new > best.get((keys[x], items.of[i]), (0,)):
+                            best[keys[x], items.of[i]] = new
             if best:
                 hit = list(best.items())
-                yield pa.RecordBatch.from_arrays(
-                    [doc.take(pa.array([v[3] for _, v in hit], pa.int64())), key.take(pa.array([v[3] for _, v in hit], pa.int64())), pa.array([i for (_, i), _ in hit], pa.int32()), pa.array([v[0] for _, v in hit]), pa.array([-v[1] for _, v in hit], pa.int64()), pa.array([-v[2] for _, v in hit], pa.int64())],
-                    ["doc_id", "u", "item", "score", "first_word", "end_word"],
-                )
+                take = pa.array([v[3] for _, v in hit], pa.int64())
+                cols = [*(c.take(take) for c in (doc, text, key)), pa.array([i for (_, i), _ in hit], pa.int32()), pa.array([v[0] for _, v in hit])]
+                cols += [pa.array([-v[k] for _, v in hit], pa.int64()) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "u", "item", "score", "first_word", "end_word"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"doc_id {kind}, u long, item int, score double, first_word long, end_word long")
+    found = rows.mapInArrow(run, f"doc_id {kind}, h long, u long, item int, score double, first_word long, end_word long")
     # clusters of one document and item may lie in two batches: the best stays
-    top = found.groupBy("u", "doc_id", "item").agg(F.max(F.struct("score", (-F.col("first_word")).alias("f"), (-F.col("end_word")).alias("e"))).alias("b"))
+    top = found.groupBy("u", "doc_id", "h", "item").agg(F.max(F.struct("score", (-F.col("first_word")).alias("f"), (-F.col("end_word")).alias("e"))).alias("b"))
     spark = rows.sparkSession
-    item_kind = schema.split("item_id ")[1].split(",")[0]
     names = spark.createDataFrame(list(enumerate(items.ids)), f"item int, item_id {item_kind}")
     joined = top.join(F.broadcast(names), "item")  # a block's items
-    return joined.select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.f")).alias("first_word"), (-F.col("b.e")).alias("end_word"))
+    return joined.select("doc_id", "h", "item_id", F.col("b.score").alias("score"), (-F.col("b.f")).alias("first_word"), (-F.col("b.e")).alias("end_word"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.6) -> DataFrame:
-    """The documents that align with no test item, with all their columns."""
-    bad = contaminated(docs, benchmark, n, threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.6, rare: float = 0.001) -> DataFrame:
+    """The documents that align with no test item, with all their columns. Rows of one id, or of none, are told apart by their texts."""
+    bad = common.write_table(_found(docs, benchmark, n, threshold, rare).select(F.col("doc_id").alias("i"), "h").distinct(), "bad")
+    rest, hit = common.parted(docs, bad)
+    bad = bad.select(F.col("i").alias("_sylva_i"), F.col("h").alias("_sylva_h"))
+    return rest.union(hit.join(bad, common.same_row(hit, bad), "left_anti").select(*docs.columns))

@@ -5,7 +5,7 @@ An invented or rare word costs the library tens of microseconds and a common one
 those at whose borders the pre-tokenizer always cuts, so the ids equal those of the whole text. Units of Latin letters, with one
 mark at most after them, go straight to the library's model in their pre-tokenised form, which costs a quarter. A text with
 white space that is not ASCII is encoded whole by a byte-level tokenizer. Other kinds of tokenizers encode whole texts.
-Strings that look like special tokens are ordinary text.
+A text that holds the content of an added token is encoded whole as well, as the library finds such tokens before it splits words.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
-        self.tk.encode_special_tokens = True
+        added = [x["content"] for x in json.loads(self.tk.to_str())["added_tokens"]]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.vocab = self.tk.get_vocab_size(with_added_tokens=True)
         self.dtype = np.uint16 if self.vocab <= 1 << 16 else np.uint32
         self.cache = cache
@@ -62,9 +63,6 @@ class Encoder:
 
     def prepare(self) -> None:
         """Sets the direct way for simple units, unless it gives other ids than the whole tokenizer for the probes."""
-        added = json.loads(self.tk.to_str())["added_tokens"]
-        if any(_SIMPLE(x["content"]) for x in added):
-            return
         before, clean = self.tk.pre_tokenizer.pre_tokenize_str, self.tk.normalizer.normalize_str if self.tk.normalizer else str
         letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if re.match(f"[{_LETTERS}]", chr(c))]
         self.form = {ord(c): "".join(x for x, _ in before(clean(c))) for c in letters}
@@ -160,12 +158,10 @@ class Encoder:
         if self.kind == "whole":
             each = [self.plain(t) if t else [] for t in column.to_pylist()]
             return np.concatenate([np.zeros(0, self.dtype), *(np.array(x, self.dtype) for x in each)]), np.array([len(x) for x in each], np.int64)
-        odd: dict[int, list[int]] = {}
-        if self.kind == "byte":
-            texts = column.to_pylist()
-            odd = {k: self.plain(t) for k, t in enumerate(texts) if t and not t.isascii() and _EXOTIC.search(t) or t and t.isascii() and _EXOTIC.search(t)}
-            if odd:
-                column = pa.array(["" if k in odd else t for k, t in enumerate(texts)], column.type)
+        texts = column.to_pylist()
+        odd = {k: self.plain(t) for k, t in enumerate(texts) if t and (self.kind == "byte" and _EXOTIC.search(t) or self.added and self.added.search(t))}
+        if odd:
+            column = pa.array(["" if k in odd else t for k, t in enumerate(texts)], column.type)
         b, off = common.text_buffer(column)
         out, count = [np.zeros(0, self.dtype)], np.zeros(len(off) - 1, np.int64)
         for i, j, s, e in common.segments(b, off):

@@ -557,12 +557,44 @@ def test_bucket_links(monkeypatch, table):
         ("<header>site</header><main><p>body text of some length here</p><aside>side</aside><form><p>field</p></form></main><div id='comments'><p>nice</p></div>", "body text of some length here"),
         ("<div><p>a paragraph that is long enough to be the content of it</p><p>ok</p><p>another paragraph that is long enough to be content</p></div><ul class='menu'><li>x</li></ul>", "a paragraph that is long enough to be the content of it\nok\nanother paragraph that is long enough to be content"),
         ("plain text only", "plain text only"),
+        ("<div id='content' class='with-sidebar'><p>one paragraph of text</p><p>two paragraphs of text</p></div>", "one paragraph of text\ntwo paragraphs of text"),
+        ("<body><nav><ul><li><a href=x>home</a></ul><h1>Title</h1><p>some long text that is the content of the page", "Title\nsome long text that is the content of the page"),
+        ("<body><div><nav><a href=x>home</a></div><div><p>some long text that is the content of the page</p></div>", "some long text that is the content of the page"),
+        ("<body><header><h1>Site</h1><p>first paragraph with many words in it</p><p>second</p>", "first paragraph with many words in it\nsecond"),
+        ("<form>search<article><h1>T</h1><p>x <math><mi>a</mi></math> y<script>z</script> w</p><noscript>no js</noscript><p hidden>h</p><div class='articleComments'><p>c c c c c c</p></div></article>", "T\nx a y w\nno js\nh"),
+        ("<div class='site-footer'>f</div><div class='ad'><article><p>the only article</p></article></div><aside><article>teaser</article></aside>", "the only article"),
+        ("<main><h2>List</h2><article><header><h3>A</h3></header><p>text of a</p><footer>by x</footer></article><article><p>text of b</p></article></main>", "List\nA\ntext of a\ntext of b"),
     ],
 )
 def test_html_cases(html, want):
     assert html_text.extract(html) == want
 
 
+def brute_content(blocks, sigma):
+    """The lines over the threshold, one weighted sum after the other."""
+    ratio = [len(x.text) / max(1, x.tags) for x in blocks]
+    r = math.ceil(2 * sigma)
+    weight = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
+    at = lambda k: ratio[min(max(k, 0), len(ratio) - 1)]
+    smooth = [sum(w * at(k + d - r) for d, w in enumerate(weight)) / sum(weight) for k in range(len(ratio))]
+    mean = sum(smooth) / len(smooth)
+    level = min(0.5 * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)) + 0.25 * mean, max(smooth))
+    return [x >= level - 1e-9 for x in smooth]
+
+
+def test_html_clusters():
+    """Pages of divs alone: the clusters by brute force, and the text between links of menus and notes found whole."""
+    rng = random.Random(8)
+    for _ in range(30):
+        menu = "".join(f"<li><a href='/{w}'><b>{w}</b></a></li>" for w in prose(rng, rng.randint(5, 12)).split())
+        paragraphs = [prose(rng, rng.randint(25, 80)) for _ in range(rng.randint(2, 9))]
+        page = f"<div><ul>{menu}</ul></div><div><h1>Head</h1>{''.join(f'<p>{x}</p>' for x in paragraphs)}</div><div><ul>{menu}</ul></div>"
+        blocks = html_text.blocks_of(page)
+        for sigma in (1.0, 2.5):
+            assert html_text.content_lines(blocks, sigma)[0].tolist() == brute_content(blocks, sigma)
+        assert html_text.extract(page) == "\n".join(["Head", *paragraphs])
+
+
 def test_html_pages(spark):
     rows = [(1, "u", "<article><p>a</p></article>"), (1, "u", "<article><p>a</p></article>"), (None, None, None), (2, "v", "<p>" + "wort " * 50000 + "</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))

@@ -21,7 +21,7 @@ _INV = pow(_MULT, -1, 1 << 64)
 #: A fixed random 64-bit value for each byte.
 _BYTE = np.random.Generator(np.random.PCG64(20240817)).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
 SEGMENT = 2 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Bits of the filter that tells most rows apart from those of a table of keys.
 FILTER = 1 << 23
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -52,20 +52,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet into the shared folder and reads it back. Deleted when Python exits.
-
-    While it writes, Arrow batches are of BATCH_BYTES at most, unless the session asks for less, so that a worker's memory does not follow the texts' sizes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sylva-{uuid.uuid4().hex[:12]}/{name}"
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Holds the session's Arrow batches to BATCH_BYTES, unless it asks for less, so that a worker's memory does not follow the texts' sizes. It stays so, as results are computed later."""
     was = spark.conf.get(_BATCH, None)
     if was is None or not was.isdigit() or int(was) > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_BATCH) if was is None else spark.conf.set(_BATCH, was)
+    return spark
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: writes df as Parquet into the shared folder and reads it back. Deleted when Python exits."""
+    spark = bound_batches(df.sparkSession)
+    path = f"{shared_dir(spark)}/sylva-{uuid.uuid4().hex[:12]}/{name}"
+    df.write.parquet(path)
     atexit.register(_delete, spark, path.rsplit("/", 1)[0])
     return spark.read.schema(df.schema).parquet(path)
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol"
@@ -249,6 +251,7 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
 
 def extract_pages(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), sigma: float = 1.0) -> DataFrame:
     """keep columns, text (main text) and n_chars (its code points) for every row of pages."""
+    common.bound_batches(pages.sparkSession)
     named = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
     rows = pages.select(*named, F.col(html).alias("_html"))
 

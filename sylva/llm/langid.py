@@ -174,6 +174,7 @@ def fit(docs: DataFrame, train: Column, sample: int = 4000, weight: int = 3000)
 
 def identify(docs: DataFrame, train: Column, sample: int = 4000) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous for every document, by a model of the rows where train holds."""
+    common.bound_batches(docs.sparkSession)
     model = fit(docs, train, sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # grams x bits, whatever the corpus's size
     names = ["doc_id", "lang_pred", "score", "ambiguous"]

@@ -5,8 +5,8 @@ depends on the bucket (power of two) of the context's count. Weights are learned
 training documents that are held out of the estimates for this purpose (one in `deleted`); then all training documents count.
 A text's end is a token, and the context of a text's first word.
 
-Counts are exact and never leave the executors as a whole. Documents come in chunks of about CHUNK tokens, each with its
-distinct words and bigrams as sorted 64- and 56-bit hashes. Shards of the hash range sum the chunks' counts
+Counts never leave the executors as a whole; they are exact but for words or bigrams whose hashes are equal, which count as one. Documents come in chunks of about CHUNK tokens, each with its
+distinct words and bigrams as sorted 64- and 56-bit hashes (so of 10^9 distinct bigrams one in 7 * 10^7 shares its hash with another). Shards of the hash range sum the chunks' counts
 and answer each chunk with the corpus's counts of what it asked for; so what moves is one entry a distinct bigram of a chunk, with no row
 for each token, and a hot word is one entry a chunk. Only histograms of bounded size reach the driver.
 
@@ -135,9 +135,19 @@ def chunks(docs: DataFrame, train: Column, deleted: int) -> DataFrame:
     return common.write_table(rows.mapInArrow(run, ROW), "chunks")
 
 
+def even_keys(spark, parts: int, each: int) -> np.ndarray:
+    """For each of parts partitions, `each` integers that Spark's hash deals to it, so that every partition gets one shard of each kind."""
+    key = F.col("id").cast("int")
+    rows = spark.range(0, 64 * each * parts).groupBy(F.pmod(F.hash(key), F.lit(parts)).alias("p")).agg(F.slice(F.array_sort(F.collect_list(key)), 1, each).alias("k")).orderBy("p")
+    return np.array([r["k"] for r in rows.collect()], np.int64)  # as many as partitions
+
+
 def answers(table: DataFrame, shards: int) -> DataFrame:
     """A written table: for each chunk, part and shard the corpus's counts of its keys, in order, without (a) and with (b) documents set aside; and, as chunk -1, sums."""
 
+    names_of = even_keys(table.sparkSession, shards, 2)
+    place_of = {int(x): s for s, own in enumerate(names_of) for x in own}
+
     def deal(batches):
         for batch in batches:
             for chunk, em, part, keys, count in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
@@ -148,7 +158,7 @@ def answers(table: DataFrame, shards: int) -> DataFrame:
                 rows = [[], [], [], [], [], []]
                 for s in np.flatnonzero(np.diff(cut)).tolist():
                     own = slice(int(cut[s]), int(cut[s + 1]))
-                    for col, v in zip(rows, (s * 2 + part, chunk, em, part, pack_keys(keys[own]), pack_ints(count[own])), strict=True):
+                    for col, v in zip(rows, (int(names_of[s, part]), chunk, em, part, pack_keys(keys[own]), pack_ints(count[own])), strict=True):
                         col.append(v)
                 kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["shard", "chunk", "em", "part", "a", "b"])
@@ -161,7 +171,8 @@ def answers(table: DataFrame, shards: int) -> DataFrame:
         held: list[tuple] = []
 
         def settle():
-            shard, part = held[0][0], held[0][3]
+            part = held[0][3]
+            shard = place_of[held[0][0]]
             keys = [unpack_keys(x[4]) for x in held]
             size = [len(x) for x in keys]
             whole, inverse = np.unique(np.concatenate(keys), return_inverse=True)

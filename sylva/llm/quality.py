@@ -13,8 +13,6 @@ one row, repeated rows too; on an empty table the model is the prior. Only doc_i
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +25,6 @@ RULES = ("symbols", "capitals", "repeats", "lines", "separators", "marks", "word
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _STRIP = " \t\n\x0b\x0c\r"
-_UPPER, _LOWER = re.compile(r"[^\W\d_a-z]"), re.compile(r"[a-z]")
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_lone", "n_marks", "dup_chars")
 
 
@@ -162,6 +159,8 @@ def fit(counts: dict[int, int], rules: int = len(RULES), rounds: int = 200, prio
 def vote_counts(docs: DataFrame, text: str = "text") -> dict[int, int]:
     """Documents by vote pattern: at most 3 ** len(RULES) rows reach the driver."""
 
+    common.bound_batches(docs.sparkSession)
+
     def run(batches):
         total: dict[int, int] = {}
         for batch in batches:

@@ -390,6 +390,48 @@ def test_lm_counts_by_brute_force(spark, docs):
     assert got == want
 
 
+def test_lm_weights_and_scores_by_brute_force(spark, docs):
+    """The weights are the likeliest for the documents set aside, and a score is the sum of the mixture's logarithms."""
+    aside = (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0) & train(7)
+    rows = docs.select("doc_id", "text", F.coalesce(train(7), F.lit(False)).alias("t"), F.coalesce(aside, F.lit(False)).alias("a")).collect()
+
+    def pairs(r):
+        t = [*ws_words(low(r["text"])), None]
+        return list(zip([None, *t[:-1]], t, strict=True))
+
+    def counts(own):
+        bi = Counter(p for r in own for p in pairs(r))
+        uni = Counter(p[1] for r in own for p in pairs(r))
+        return uni, bi, sum(uni.values()), len(uni)
+
+    table = lm.chunks(docs, train(7), 3)
+    answered = lm.answers(table, 5)
+    uni, bi, n, v = counts([r for r in rows if r["t"] and not r["a"]])
+    m, weights = lm.learn(table, answered, n, v)
+    events = [p for r in rows if r["a"] for p in pairs(r)]
+    likely = lambda x, ps: sum(math.log(x * p + (1 - x) * q) for p, q in ps)
+    low_order = lambda w: m * uni[w] / n + (1 - m) / (v + 1)
+    grid = [k / 500 for k in range(1, 500)]
+    cases = {"m": (m, [(uni[w] / n, 1 / (v + 1)) for _, w in events])}
+    for u, w in events:
+        if uni[u]:
+            b = int(math.log2(uni[u])) + 1
+            cases.setdefault(b, (weights[b], []))[1].append((bi[u, w] / uni[u], low_order(w)))
+    assert len(cases) > 3
+    for x, ps in cases.values():
+        if len(ps) >= 20:
+            assert likely(x, ps) >= max(likely(g, ps) for g in grid) - 0.002 * len(ps)  # counts are binned by an eighth of an octave
+    uni, bi, n, v = counts([r for r in rows if r["t"]])
+    want = []
+    for r in rows:
+        total = 0.0
+        for u, w in pairs(r):
+            x = weights[int(math.log2(uni[u])) + 1] if uni[u] else 0.0
+            total += math.log10(x * bi[u, w] / max(uni[u], 1) + (1 - x) * (m * uni[w] / n + (1 - m) / (v + 1)))
+        want.append(str((r["doc_id"], round(total, 5))))
+    assert sorted(str((r["doc_id"], round(r["score"], 5))) for r in lm.score(docs, train(7), 3).collect()) == sorted(want)
+
+
 def test_quality(spark, docs, empty):
     rows = docs.collect()
     want = []

@@ -181,7 +181,7 @@ def candidates(docs: DataFrame, items: Items) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("u"), "text")
-    return common.write_table(rows.mapInArrow(run, f"doc_id {kind}, h long, u long, item int, first long, words binary, seeds array<long>"), "candidates")
+    return common.write_table(rows.mapInArrow(common.lean(run), f"doc_id {kind}, h long, u long, item int, first long, words binary, seeds array<long>"), "candidates")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float, rare: float) -> DataFrame:
@@ -247,7 +247,7 @@ def _aligned(rows: DataFrame, items: Items, common_seeds: frozenset, threshold:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "u", "item", "score", "first_word", "end_word"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"doc_id {kind}, h long, u long, item int, score double, first_word long, end_word long")
+    found = rows.mapInArrow(common.lean(run), f"doc_id {kind}, h long, u long, item int, score double, first_word long, end_word long")
     # clusters of one document and item may lie in two batches: the best stays
     top = found.groupBy("u", "doc_id", "h", "item").agg(F.max(F.struct("score", (-F.col("first_word")).alias("f"), (-F.col("end_word")).alias("e"))).alias("b"))
     spark = rows.sparkSession

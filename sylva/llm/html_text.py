@@ -261,5 +261,5 @@ def extract_pages(pages: DataFrame, html: str = "html", keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [*batch.schema.names[:-1], "_text", "_n"])
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    out = rows.mapInArrow(run, f"{types}, _text string, _n long")
+    out = rows.mapInArrow(common.lean(run), f"{types}, _text string, _n long")
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_text").alias("text"), F.col("_n").alias("n_chars"))

@@ -167,7 +167,7 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
         if at:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
-    return common.write_table(ranged.mapInArrow(run, "part int, at long, doc_id long, n long, ids binary, counts binary"), "tokens")
+    return common.write_table(ranged.mapInArrow(common.lean(run), "part int, at long, doc_id long, n long, ids binary, counts binary"), "tokens")
 
 
 def encode(docs: DataFrame, path: str, end: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -182,7 +182,7 @@ def encode(docs: DataFrame, path: str, end: int = 1) -> tuple[DataFrame, DataFra
                 used = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], ["id", "n"])
 
-    rows = last.select("counts").mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = last.select("counts").mapInArrow(common.lean(spread), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     size = max(rows.column(0).to_pylist(), default=0) + 1
     counts = np.zeros(size, np.int64)
     counts[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
@@ -220,7 +220,7 @@ def encode(docs: DataFrame, path: str, end: int = 1) -> tuple[DataFrame, DataFra
         if held:
             yield settle()
 
-    segments = common.write_table(table.where(F.col("n").isNotNull()).select("part", "at", "doc_id", "n", "ids").mapInArrow(run, "start long, data binary"), "segments")
+    segments = common.write_table(table.where(F.col("n").isNotNull()).select("part", "at", "doc_id", "n", "ids").mapInArrow(common.lean(run), "start long, data binary"), "segments")
     used = np.flatnonzero(lengths).tolist()
     book = common.write_table(spark.createDataFrame([(i, int(lengths[i])) for i in used], "id long, bits int"), "codebook")
     return segments, book
@@ -243,4 +243,4 @@ def decode(segments: DataFrame, book: DataFrame, with_ids: bool = True) -> DataF
                 cols = [pa.array(doc_ids, pa.int64()), pa.array(before + cut[:-1], pa.int64()), pa.array(count, pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array([x.tolist() for x in each], pa.list_(pa.int64()))] if with_ids else []), ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    return segments.select("data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return segments.select("data").mapInArrow(common.lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)

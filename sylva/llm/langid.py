@@ -140,7 +140,7 @@ def fit(docs: DataFrame, train: Column, sample: int = 4000, weight: int = 3000)
             used = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(x[used])], ["lang", "gram", "n"])
 
-    got = rows.mapInArrow(count, "lang string, gram int, n double").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.mapInArrow(common.lean(count), "lang string, gram int, n double").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column(0).to_pylist()))
     if not langs:
         return None
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, train: Column, sample: int = 4000, weight: int = 3000)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(good)), pa.int32()), pa.array(good), pa.array([float(n)] * len(good))], ["bit", "good", "n"])
 
     weight_of = np.ones(code.shape[1])
-    for r in rows.mapInArrow(check, "bit int, good double, n double").groupBy("bit").agg(F.sum("good"), F.sum("n")).collect():
+    for r in rows.mapInArrow(common.lean(check), "bit int, good double, n double").groupBy("bit").agg(F.sum("good"), F.sum("n")).collect():
         a = min(max((r[1] + 1) / (r[2] + 2), 0.51), 0.999)
         weight_of[r[0]] = np.log(a / (1 - a))
     return Model(langs, w, weight_of / weight_of.sum() * len(weight_of) if len(langs) > 1 else weight_of)
@@ -193,4 +193,4 @@ def identify(docs: DataFrame, train: Column, sample: int = 4000) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(lang, pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(close & letter)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")

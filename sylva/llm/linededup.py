@@ -97,7 +97,7 @@ def _line_table(docs: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, pa.binary()) for c in cols[:3]), keys], names)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return common.write_table(rows.mapInArrow(run, f"doc_id {kind}, h long, hashes binary, at binary, size binary, keys array<struct<key:long,n:long>>"), "lines")
+    return common.write_table(rows.mapInArrow(common.lean(run), f"doc_id {kind}, h long, hashes binary, at binary, size binary, keys array<struct<key:long,n:long>>"), "lines")
 
 
 def repeated(docs: DataFrame, min_words: int) -> DataFrame:
@@ -115,7 +115,7 @@ def repeated(docs: DataFrame, min_words: int) -> DataFrame:
 
     firsts = texts.select(F.col("i").alias("_i"), F.col("h").alias("_h"))
     copies = lines.join(firsts, lines["doc_id"].eqNullSafe(firsts["_i"]) & (lines["h"] == firsts["_h"]), "left_anti").select("doc_id", "h", "at")
-    copies = copies.mapInArrow(ends, f"i {kind}, h long, a int, b int").groupBy("i", "h").agg(F.min(F.struct("a", "b")).alias("s")).select("i", "h", F.array("s").alias("spans"))
+    copies = copies.mapInArrow(common.lean(ends), f"i {kind}, h long, a int, b int").groupBy("i", "h").agg(F.min(F.struct("a", "b")).alias("s")).select("i", "h", F.array("s").alias("spans"))
 
     each = texts.select("h", F.inline("keys"))
     shared = each.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("key")
@@ -134,7 +134,7 @@ def repeated(docs: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.array(cols[0], np.uint64).view(np.int64)), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["i", "h", "key", "a", "b"])
 
     runs = texts.drop("keys").join(held, "h").select("i", "h", "hashes", "at", "size", "keys")
-    runs = common.write_table(runs.mapInArrow(extend, f"i {kind}, h long, key long, a int, b int"), "runs")
+    runs = common.write_table(runs.mapInArrow(common.lean(extend), f"i {kind}, h long, key long, a int, b int"), "runs")
     place = F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("h").alias("h"), F.col("a").alias("a"))
     first = runs.groupBy("key").agg(F.min(place).alias("f"), F.max(place).alias("l")).where(F.col("f") != F.col("l")).select("key", "f")
     later = runs.join(first, "key").where(~place.eqNullSafe(F.col("f")))
@@ -161,4 +161,4 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
             cols[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64())], [*batch.schema.names[:last], "_deleted"])
 
-    return rest.withColumn("_deleted", F.lit(0).cast("long")).union(rows.mapInArrow(run, schema))
+    return rest.withColumn("_deleted", F.lit(0).cast("long")).union(rows.mapInArrow(common.lean(run), schema))

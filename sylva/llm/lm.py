@@ -132,7 +132,7 @@ def chunks(docs: DataFrame, train: Column, deleted: int) -> DataFrame:
 
     aside = F.pmod(F.xxhash64("doc_id"), F.lit(deleted)) == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"), aside.alias("aside"))
-    return common.write_table(rows.mapInArrow(run, ROW), "chunks")
+    return common.write_table(rows.mapInArrow(common.lean(run), ROW), "chunks")
 
 
 def even_keys(spark, parts: int, each: int) -> np.ndarray:
@@ -163,7 +163,7 @@ def answers(table: DataFrame, shards: int) -> DataFrame:
                 kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["shard", "chunk", "em", "part", "a", "b"])
 
-    dealt = table.where(F.col("part") < 2).select("chunk", "em", "part", "a", "b").mapInArrow(deal, "shard int, chunk long, em boolean, part int, a binary, b binary")
+    dealt = table.where(F.col("part") < 2).select("chunk", "em", "part", "a", "b").mapInArrow(common.lean(deal), "shard int, chunk long, em boolean, part int, a binary, b binary")
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
     names = ["chunk", "part", "shard", "a", "b"]
 
@@ -207,7 +207,7 @@ def answers(table: DataFrame, shards: int) -> DataFrame:
         if held:
             yield from map(batch_of, settle())
 
-    return common.write_table(dealt.mapInArrow(total, "chunk long, part int, shard int, a binary, b binary"), "answers")
+    return common.write_table(dealt.mapInArrow(common.lean(total), "chunk long, part int, shard int, a binary, b binary"), "answers")
 
 
 class Chunk:
@@ -266,7 +266,7 @@ def by_chunk(table: DataFrame, answered: DataFrame, em_only: bool, run, schema:
         if held:
             yield from run(Chunk(held))
 
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(common.lean(each), schema)
 
 
 def mixture(p: np.ndarray, q: np.ndarray, n: np.ndarray, rounds: int = 100) -> float:
@@ -328,7 +328,7 @@ def score(docs: DataFrame, train: Column, deleted: int = 20) -> DataFrame:
         if got:
             yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in np.sum(got, axis=0)], ["v", "n", "w", "m"])
 
-    row = sums.mapInArrow(add, "v double, n double, w double, m double").agg(F.sum("v"), F.sum("n"), F.sum("w"), F.sum("m")).first()
+    row = sums.mapInArrow(common.lean(add), "v double, n double, w double, m double").agg(F.sum("v"), F.sum("n"), F.sum("w"), F.sum("m")).first()
     stats = np.array([x or 0.0 for x in row])
     v, n, v_main, n_main = stats.tolist()
     m, weights = learn(table, answered, n_main, v_main)

@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, path: str, window: int, end: int, with_ids: bool) ->
                 yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=False))], names)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long" + ", ids array<long>" * with_ids
-    return common.write_table(rows.mapInArrow(run, schema), "pieces")
+    return common.write_table(rows.mapInArrow(common.lean(run), schema), "pieces")
 
 
 def pack(docs: DataFrame, path: str, window: int = 2048, end: int = 1, with_ids: bool = False) -> DataFrame:
@@ -155,4 +155,4 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end: int = 1, with_ids:
     rows = table.join(sizes.select("part", "length", "before").hint("merge"), ["part", "length"])  # grows with the tasks: no broadcast
     rows = rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("before")).alias("rank"), *["ids"] * with_ids)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids)
+    return rows.mapInArrow(common.lean(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids)

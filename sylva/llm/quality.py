@@ -170,7 +170,7 @@ def vote_counts(docs: DataFrame, text: str = "text") -> dict[int, int]:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["_p", "_n"])
 
-    rows = docs.select(F.col(text).alias("_text")).mapInArrow(run, "_p long, _n long").groupBy("_p").agg(F.sum("_n").alias("_n"))
+    rows = docs.select(F.col(text).alias("_text")).mapInArrow(common.lean(run), "_p long, _n long").groupBy("_p").agg(F.sum("_n").alias("_n"))
     return {r[0]: r[1] for r in rows.collect()}
 
 
@@ -191,7 +191,7 @@ def assess(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *FEATURES[:5], "base_failed", "p_good", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{k} long" for k in FEATURES[:5]) + ", base_failed boolean, p_good double, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), f"doc_id {kind}, " + ", ".join(f"{k} long" for k in FEATURES[:5]) + ", base_failed boolean, p_good double, kept boolean")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -205,4 +205,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
             p = np.array([post.get(k, share) for k in pattern(votes(f)).tolist()], float)
             yield batch.filter(pa.array((p >= 0.5) & ~_base_failed(f)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)

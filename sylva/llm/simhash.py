@@ -84,7 +84,7 @@ def fingerprint_table(docs: DataFrame, words: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], ["doc_id", "h", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(common.lean(run), f"doc_id {kind}, h long, fp long")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> None:
@@ -190,7 +190,7 @@ def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(common.lean(run), "u long, v long")
 
 
 def groups(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:

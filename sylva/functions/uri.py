@@ -86,3 +86,9 @@ def mk_abs_uri(ref: str, base: str) -> str:
 def uri_parts(s: str) -> dict[str, str]:
     u = urlsplit(s)
     return {"protocol": u.scheme, "host": u.hostname or "", "port": str(u.port or ""), "path": u.path, "query": u.query, "fragment": u.fragment}
+
+
+# the parts by their longer names
+
+get_scheme_from_uri, get_reg_name_from_uri, get_port_from_uri, get_user_info_from_uri = protocol, host, port, user_info
+get_path_from_uri, get_query_from_uri, get_fragment_from_uri = path, query, fragment

@@ -2,6 +2,9 @@
 
 ctx is any table with doc_id and node_id of context nodes (c_ctx, if there, is carried along); the result holds, for each context
 node and node on the axis, the node's columns, c_node_id and axis_pos, the node's place on the axis from 1.
+
+Children, parents and siblings join on the document and the parent. Axes up and down join on the document and a bucket of BUCKET places, over which
+the wider of the two nodes is spread, so a large document is many keys and no task compares all its nodes with all.
 """
 
 from __future__ import annotations
@@ -12,6 +15,10 @@ from pyspark.sql import functions as F
 from ..model import NODE
 
 REVERSE = frozenset(("parent", "ancestor", "ancestor-or-self", "preceding", "preceding-sibling"))
+#: Places in document order that share a key of a join up or down.
+BUCKET = 4096
+DOWN = frozenset(("descendant", "descendant-or-self", "rev-descendant-or-self"))
+UP = frozenset(("ancestor", "ancestor-or-self"))
 NAMES = ("self", "child", "parent", "descendant", "descendant-or-self", "ancestor", "ancestor-or-self", "following", "preceding", "following-sibling", "preceding-sibling", "attribute")
 #: Two more, which XPath does not have.
 EXTRA = ("descendant-or-following", "rev-descendant-or-self")
@@ -46,7 +53,7 @@ def attributes(nodes: DataFrame) -> DataFrame:
     name = F.col("e.key")
     cut = F.instr(name, ":")
     return found.select(
-        "doc_id", (-F.col("node_id") * 1000 - F.col("k") - 1).alias("node_id"), "pre", F.lit(0).cast("long").alias("size"), (F.col("level") + 1).alias("level"), F.col("node_id").alias("parent_id"), F.col("k").alias("sib"),
+        "doc_id", (-F.shiftleft("node_id", 20) - F.col("k") - 1).alias("node_id"), "pre", F.lit(0).cast("long").alias("size"), (F.col("level") + 1).alias("level"), F.col("node_id").alias("parent_id"), F.col("k").alias("sib"),
         F.lit("attr").alias("kind"), F.when(cut > 0, F.substring(name, F.lit(1), cut - 1)).otherwise("").alias("prefix"), F.when(cut > 0, F.expr("substring(e.key, instr(e.key, ':') + 1)")).otherwise(name).alias("local"),
         F.lit("").alias("ns_uri"), name.alias("name"), F.col("e.value").alias("value"), F.lit(None).cast("map<string,string>").alias("attrs"),
     )
@@ -60,8 +67,15 @@ def axis(ctx: DataFrame, nodes: DataFrame, name: str, test: Column | None = None
         nodes = nodes.where(test)
     own = [F.col(x) for x in nodes.columns]
     c = ctx.select(F.col("doc_id").alias("c_doc_id"), *[F.col(x).alias(f"c_{x}") for x in ctx.columns if x != "doc_id" and not x.startswith("c_")], *[x for x in ctx.columns if x == "c_ctx"]).alias("c")
-    joined = nodes.select(*own).alias("n").join(c, (F.col("n.doc_id") == F.col("c.c_doc_id")) & _rule(name))
-    out = joined.select("n.*", *[F.col(f"c.{x}") for x in c.columns if x in ("c_node_id", "c_pre", "c_ctx")])
+    n, same = nodes.select(*own), F.col("n.doc_id") == F.col("c.c_doc_id")
+    if name in DOWN | UP:
+        bucket = lambda pre: F.floor(F.col(pre) / BUCKET)
+        spread = lambda pre, size: F.explode(F.sequence(bucket(pre), F.floor((F.col(pre) + F.col(size)) / BUCKET)))
+        n = n.withColumn("_bucket", bucket("pre") if name in DOWN else spread("pre", "size"))
+        c = c.withColumn("c__bucket", spread("c_pre", "c_size") if name in DOWN else bucket("c_pre")).alias("c")
+        same &= F.col("n._bucket") == F.col("c.c__bucket")
+    joined = n.alias("n").join(c, same & _rule(name))
+    out = joined.select(*[F.col(f"n.{x}") for x in nodes.columns], *[F.col(f"c.{x}") for x in c.columns if x in ("c_node_id", "c_pre", "c_ctx")])
     if not positions:
         return out
     order = F.col("pre").desc() if name in REVERSE or name.startswith("rev-") else F.col("pre")

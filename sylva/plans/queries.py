@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import strings as S
 from ..functions import uri as U
 from ..operators import axes, select
-from ..sources.documents import shred, store
+from ..sources.documents import shred, state_of, store
 from . import xpath as X
 from . import xpath_plan as P
 
@@ -50,8 +50,8 @@ def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders' nodes, parsed once and stored, as axes join them with themselves."""
-    return store(shred(order_docs(spark, sf_dir)))
+    """The orders' nodes, parsed once and stored, as axes join them with themselves; as long as the tables stay the same, all queries share them."""
+    return store(shred(order_docs(spark, sf_dir)), ("orders", *state_of(spark, *(f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem")))))
 
 
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:

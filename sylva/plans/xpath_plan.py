@@ -57,15 +57,15 @@ def _scalar(e, pos: Column, last: Column) -> Column | None:
     return None
 
 
-def _values(ctx: DataFrame, nodes: DataFrame, path) -> DataFrame:
+def _values(ctx: DataFrame, nodes: DataFrame, path, strict: bool) -> DataFrame:
     """(doc_id, node_id of the context, value) of the nodes an inner path selects."""
     inner = ctx.withColumn("c_ctx", F.col("node_id"))
-    found = _steps(inner, nodes, path[2], carry=True)
+    found = _steps(inner, nodes, path[2], strict, carry=True)
     text = axes.string_value(found.dropDuplicates(["doc_id", "node_id"]), nodes)
     return found.select("doc_id", "c_ctx", "node_id").join(text, ["doc_id", "node_id"]).select("doc_id", F.col("c_ctx").alias("node_id"), F.col("string_value").alias("value"))
 
 
-def _filter(rows: DataFrame, nodes: DataFrame, pred, key: list[str]) -> DataFrame:
+def _filter(rows: DataFrame, nodes: DataFrame, pred, key: list[str], strict: bool) -> DataFrame:
     """Rows (with axis_pos and axis_last) for which the predicate holds."""
     pos, last = F.col("axis_pos"), F.col("axis_last")
     number = _scalar(pred, pos, last)
@@ -76,38 +76,38 @@ def _filter(rows: DataFrame, nodes: DataFrame, pred, key: list[str]) -> DataFram
         if a is not None and b is not None:
             return rows.where(_OPS[pred[1]](a, b))
     if pred[0] == "op" and pred[1] == "and":
-        return _filter(_filter(rows, nodes, pred[2], key), nodes, pred[3], key)
-    return rows.join(_holds(rows, nodes, pred), ["doc_id", "node_id"], "left_semi")
+        return _filter(_filter(rows, nodes, pred[2], key, strict), nodes, pred[3], key, strict)
+    return rows.join(_holds(rows, nodes, pred, strict), ["doc_id", "node_id"], "left_semi")
 
 
-def _holds(rows: DataFrame, nodes: DataFrame, pred) -> DataFrame:
+def _holds(rows: DataFrame, nodes: DataFrame, pred, strict: bool) -> DataFrame:
     """(doc_id, node_id) of the rows for which a predicate without positions holds."""
     ctx = rows.select(*nodes.columns).dropDuplicates(["doc_id", "node_id"])
     keys = ctx.select("doc_id", "node_id")
     what = pred[0]
     if what == "path" and pred[1] is None:
-        return _steps(ctx.withColumn("c_ctx", F.col("node_id")), nodes, pred[2], carry=True).select("doc_id", F.col("c_ctx").alias("node_id")).distinct()
+        return _steps(ctx.withColumn("c_ctx", F.col("node_id")), nodes, pred[2], strict, carry=True).select("doc_id", F.col("c_ctx").alias("node_id")).distinct()
     if what == "op" and pred[1] == "or":
-        return _holds(rows, nodes, pred[2]).union(_holds(rows, nodes, pred[3])).distinct()
+        return _holds(rows, nodes, pred[2], strict).union(_holds(rows, nodes, pred[3], strict)).distinct()
     if what == "op" and pred[1] == "and":
-        return _holds(rows, nodes, pred[2]).join(_holds(rows, nodes, pred[3]), ["doc_id", "node_id"], "left_semi")
+        return _holds(rows, nodes, pred[2], strict).join(_holds(rows, nodes, pred[3], strict), ["doc_id", "node_id"], "left_semi")
     if what == "call" and pred[1] == "not":
-        return keys.join(_holds(rows, nodes, pred[2][0]), ["doc_id", "node_id"], "left_anti")
+        return keys.join(_holds(rows, nodes, pred[2][0], strict), ["doc_id", "node_id"], "left_anti")
     if what == "call" and pred[1] == "true":
         return keys
     if what == "call" and pred[1] in ("contains", "starts-with") and pred[2][0][0] == "path" and pred[2][0][1] is None and pred[2][1][0] == "str":
         v = F.col("value")
-        found = _values(ctx, nodes, pred[2][0])
+        found = _values(ctx, nodes, pred[2][0], strict)
         return found.where(v.contains(pred[2][1][1]) if pred[1] == "contains" else v.startswith(pred[2][1][1])).select("doc_id", "node_id").distinct()
     if what == "op" and pred[1] in _OPS:
         op, a, b = pred[1], pred[2], pred[3]
         if a[0] in ("num", "str"):
             op, a, b = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op), b, a
         if a[0] == "call" and a[1] == "count" and a[2][0][0] == "path" and b[0] == "num":
-            found = _steps(ctx.withColumn("c_ctx", F.col("node_id")), nodes, a[2][0][2], carry=True).groupBy("doc_id", F.col("c_ctx").alias("node_id")).agg(F.countDistinct(F.col("node_id")).alias("n"))
+            found = _steps(ctx.withColumn("c_ctx", F.col("node_id")), nodes, a[2][0][2], strict, carry=True).groupBy("doc_id", F.col("c_ctx").alias("node_id")).agg(F.countDistinct(F.col("node_id")).alias("n"))
             return keys.join(found, ["doc_id", "node_id"], "left").where(_OPS[op](F.coalesce("n", F.lit(0)).cast("double"), F.lit(b[1]))).select("doc_id", "node_id")
         if a[0] == "path" and a[1] is None and b[0] in ("num", "str"):
-            found = _values(ctx, nodes, a)
+            found = _values(ctx, nodes, a, strict)
             if b[0] == "str" and op in ("=", "!="):
                 hit = _OPS[op](F.col("value"), F.lit(b[1]))
             else:
@@ -116,11 +116,13 @@ def _holds(rows: DataFrame, nodes: DataFrame, pred) -> DataFrame:
                 hit = _OPS[op](x, y) & ~F.isnan(x) & ~F.isnan(y) if op != "!=" else (x != y) | F.isnan(x)
             return found.where(hit).select("doc_id", "node_id").distinct()
         if a[0] == b[0] == "path" and a[1] is None and b[1] is None:
-            left = _values(ctx, nodes, a).withColumnRenamed("value", "_a")
-            right = _values(ctx, nodes, b).withColumnRenamed("value", "_b")
+            left = _values(ctx, nodes, a, strict).withColumnRenamed("value", "_a")
+            right = _values(ctx, nodes, b, strict).withColumnRenamed("value", "_b")
             if op == "=":
                 return left.join(right.withColumnRenamed("_b", "_a"), ["doc_id", "node_id", "_a"], "left_semi").select("doc_id", "node_id").distinct()
-            # strings by their extremes: some pair differs, or is in order, if the least and greatest are
+            if strict and op != "!=":
+                left, right = left.withColumn("_a", _number(F.col("_a"))).where("not isnan(_a)"), right.withColumn("_b", _number(F.col("_b"))).where("not isnan(_b)")
+            # by their extremes: some pair differs, or is in order, if the least and greatest are
             lo = left.groupBy("doc_id", "node_id").agg(F.min("_a").alias("a0"), F.max("_a").alias("a1"))
             hi = right.groupBy("doc_id", "node_id").agg(F.min("_b").alias("b0"), F.max("_b").alias("b1"))
             c = F.col
@@ -129,10 +131,11 @@ def _holds(rows: DataFrame, nodes: DataFrame, pred) -> DataFrame:
     raise Unplanned(f"predicate {what}")
 
 
-def _steps(ctx: DataFrame, nodes: DataFrame, steps: list, carry: bool = False) -> DataFrame:
+def _steps(ctx: DataFrame, nodes: DataFrame, steps: list, strict: bool, carry: bool = False) -> DataFrame:
     """Nodes that the steps lead to, each once for a context (and c_ctx, if carried)."""
     now, k = ctx, 0
     extra = ["c_ctx"] if carry else []
+    flat = True  # no context node lies in another one
     while k < len(steps):
         axis, test, preds = steps[k]
         if (axis, test, preds) == ("descendant-or-self", ("type", "node"), []) and k + 1 < len(steps) and steps[k + 1][0] in ("child", "descendant") and not steps[k + 1][2]:
@@ -148,28 +151,34 @@ def _steps(ctx: DataFrame, nodes: DataFrame, steps: list, carry: bool = False) -
                 w = Window.partitionBy("doc_id", "c_node_id", *extra)
                 order = F.col("pre").desc() if axis in axes.REVERSE else F.col("pre")
                 found = found.withColumn("axis_pos", F.row_number().over(w.orderBy(order, "sib"))).withColumn("axis_last", F.count(F.lit(1)).over(w))
-            found = _filter(found, nodes, p, extra)
-        now = found.select(*nodes.columns, *extra).dropDuplicates(["doc_id", "node_id", *extra])
+            found = _filter(found, nodes, p, extra, strict)
+        now = found.select(*nodes.columns, *extra)
+        if axis not in ("self", "child", "attribute") and not (flat and axis in ("descendant", "descendant-or-self")):
+            now = now.dropDuplicates(["doc_id", "node_id", *extra])  # other axes lead from several nodes to one
+        flat = flat and axis in ("self", "child", "attribute")
         k += 1
     return now
 
 
-def compile(nodes: DataFrame, source: str) -> DataFrame:
-    """The node rows (attributes as rows of kind attr) that a location path selects from each document's root."""
+def compile(nodes: DataFrame, source: str, strict: bool = False) -> DataFrame:
+    """The node rows (attributes as rows of kind attr) that a location path selects from each document's root.
+
+    strict: order between two node sets compares numbers, as the recommendation says; else strings ("10" < "9").
+    """
     e = X.parse(source)
     if e[0] == "union":
-        parts = [_path(nodes, x) for x in e[1]]
+        parts = [_path(nodes, x, strict) for x in e[1]]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out.dropDuplicates(["doc_id", "node_id"])
-    return _path(nodes, e)
+    return _path(nodes, e, strict)
 
 
-def _path(nodes: DataFrame, e) -> DataFrame:
+def _path(nodes: DataFrame, e, strict: bool) -> DataFrame:
     if e[0] != "path" or e[1] not in (None, "/"):
         raise Unplanned(e[0])
-    return _steps(nodes.where("level = 0"), nodes, e[2])
+    return _steps(nodes.where("level = 0"), nodes, e[2], strict)
 
 
 def count(nodes: DataFrame, source: str, as_: str = "n") -> DataFrame:

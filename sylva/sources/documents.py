@@ -158,22 +158,49 @@ def shred(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mime: str
     return docs.select(*cols).mapInArrow(run, NODE)
 
 
-def store(nodes: DataFrame) -> DataFrame:
-    """Writes a node table as Parquet into the folder of spark.checkpoint.dir (a temporary one where none is set) and reads it back.
+#: Stored node tables that have a key: the session's application and the key, and where the table lies.
+_stored: dict[tuple, str] = {}
+
+
+def state_of(spark: SparkSession, *paths: str) -> tuple:
+    """Bytes and time of change of the files at some paths, in any store that Spark reads."""
+    out = []
+    for p in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+        out.append((p, fs.getContentSummary(hadoop).getLength(), fs.getFileStatus(hadoop).getModificationTime()))
+    return tuple(out)
+
+
+def store(nodes: DataFrame, key: tuple | None = None) -> DataFrame:
+    """Writes a node table as Parquet into the folder of spark.checkpoint.dir (a temporary one where none is set, in local mode) and reads it back.
 
     Documents are parsed once, however many joins follow, and each join's scan reads only its columns, with kind and name pushed down.
+    With a key, which must name the source, its state (state_of) and the options, later calls of this application read the same table.
     Deleted when Python exits.
     """
     spark = nodes.sparkSession
+    known = (spark.sparkContext.applicationId, key)
+    if key is not None and known in _stored and _exists(spark, _stored[known]):
+        return spark.read.schema(nodes.schema).parquet(_stored[known])
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_sylva_nodes", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark._sylva_nodes = "file://" + tempfile.mkdtemp(prefix="sylva-nodes-")
     path = f"{base.rstrip('/')}/nodes-{uuid.uuid4().hex[:12]}"
     nodes.write.parquet(path)
+    if key is not None:
+        _stored[known] = path
     atexit.register(_delete, spark, path)
     return spark.read.schema(nodes.schema).parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

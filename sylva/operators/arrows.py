@@ -594,3 +594,22 @@ def add_to_the_right(f: Arrow) -> Arrow:
 
 drop_from_the_left = Arrow(lambda n: _edit(n, lambda kids, k: kids[: k - 1] + kids[k:]) if move_left(n) else [])
 drop_from_the_right = Arrow(lambda n: _edit(n, lambda kids, k: kids[: k + 1] + kids[k + 2 :]) if move_right(n) else [])
+
+
+# the parts of a node without its children
+
+
+get_node = Arrow(lambda n: [Node(n.kind, n.name, n.value, dict(n.attrs), [], n.ns)])
+
+
+def has_node(p: Callable[[Node], bool]) -> Arrow:
+    return is_a(p)
+
+
+def change_node(f: Callable[[Node], Node]) -> Arrow:
+    """f of the node; the children stay."""
+    return Arrow(lambda n: [_with(f(_with(n, children=[])), children=list(n.children))])
+
+
+def set_node(new: Node) -> Arrow:
+    return change_node(lambda _: new)

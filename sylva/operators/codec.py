@@ -505,3 +505,18 @@ def decode_col(s: Column, c: Codec, schema: str) -> Column:
         return pd.DataFrame(out, columns=[*names, "error"], dtype=object)
 
     return f(s)
+
+
+def lift_maybe(value) -> Codec:
+    """A constant without any XML; None decodes to nothing."""
+    return zero("no value") if value is None else lift(value)
+
+
+def add_ns_decl(prefix: str, uri: str, c: Codec) -> Codec:
+    """A namespace declaration on the element, written and read but no part of the value; an empty prefix is the default namespace."""
+    return seq_fixed(attr_fixed(f"xmlns:{prefix}" if prefix else "xmlns", uri), c)
+
+
+def ignore_input(c: Codec) -> Codec:
+    """Reads c and passes over whatever else the element holds."""
+    return ignore_cont(ignore_attr(c))

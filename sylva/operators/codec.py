@@ -513,10 +513,16 @@ def lift_maybe(value) -> Codec:
 
 
 def add_ns_decl(prefix: str, uri: str, c: Codec) -> Codec:
-    """A namespace declaration on the element, written and read but no part of the value; an empty prefix is the default namespace."""
-    return seq_fixed(attr_fixed(f"xmlns:{prefix}" if prefix else "xmlns", uri), c)
+    """A namespace declaration on the element, no part of the value; an empty prefix is the default namespace. Declarations are passed over in reading."""
+    name = f"xmlns:{prefix}" if prefix else "xmlns"
+
+    def put(v, n):
+        n.attrs[name] = uri
+        c.put(v, n)
+
+    return Codec(put, c.get, ("seq", [("attr", name, ("text", "string", {"enumeration": [uri]})), c.schema]))
 
 
 def ignore_input(c: Codec) -> Codec:
-    """Reads c and passes over whatever else the element holds."""
+    """Drops all attributes and content before c reads."""
     return ignore_cont(ignore_attr(c))

@@ -122,6 +122,15 @@ def same_row(rows: DataFrame, keys: DataFrame):
     return rows["doc_id"].eqNullSafe(keys["_sylva_i"]) & (rows["_sylva_x"] == keys["_sylva_h"])
 
 
+def small_table(spark: SparkSession, schema: str, columns: list[list]) -> DataFrame:
+    """A table of a few values of the driver, made as an Arrow table: rows given as Python objects would start further Python workers on the executors, which stay."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(kind), strict=True)], schema=to_arrow_schema(kind)), kind)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0xBF58476D1CE4E5B9)

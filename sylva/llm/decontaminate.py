@@ -196,7 +196,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float, rare
         part = _aligned(rows, items, common_seeds, threshold, item_kind)
         found = part if found is None else found.union(part)
     schema = f"doc_id {kind}, h long, item_id {item_kind}, score double, first_word long, end_word long"
-    return docs.sparkSession.createDataFrame([], schema) if found is None else found
+    return common.small_table(docs.sparkSession, schema, [[]] * 6) if found is None else found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.6, rare: float = 0.001) -> DataFrame:
@@ -251,7 +251,7 @@ def _aligned(rows: DataFrame, items: Items, common_seeds: frozenset, threshold:
     # clusters of one document and item may lie in two batches: the best stays
     top = found.groupBy("u", "doc_id", "h", "item").agg(F.max(F.struct("score", (-F.col("first_word")).alias("f"), (-F.col("end_word")).alias("e"))).alias("b"))
     spark = rows.sparkSession
-    names = spark.createDataFrame(list(enumerate(items.ids)), f"item int, item_id {item_kind}")
+    names = common.small_table(spark, f"item int, item_id {item_kind}", [list(range(len(items.ids))), items.ids])
     joined = top.join(F.broadcast(names), "item")  # a block's items
     return joined.select("doc_id", "h", "item_id", F.col("b.score").alias("score"), (-F.col("b.f")).alias("first_word"), (-F.col("b.e")).alias("end_word"))
 

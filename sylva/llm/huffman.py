@@ -222,7 +222,7 @@ def encode(docs: DataFrame, path: str, end: int = 1) -> tuple[DataFrame, DataFra
 
     segments = common.write_table(table.where(F.col("n").isNotNull()).select("part", "at", "doc_id", "n", "ids").mapInArrow(common.lean(run), "start long, data binary"), "segments")
     used = np.flatnonzero(lengths).tolist()
-    book = common.write_table(spark.createDataFrame([(i, int(lengths[i])) for i in used], "id long, bits int"), "codebook")
+    book = common.write_table(common.small_table(spark, "id long, bits int", [list(used), [int(lengths[i]) for i in used]]), "codebook")
     return segments, book
 
 

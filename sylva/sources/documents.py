@@ -276,19 +276,43 @@ def rewrite(nodes: DataFrame, f: Callable[[Node], list[Node]]) -> DataFrame:
     return packed.mapInArrow(run, NODE)
 
 
-def serialize(nodes: DataFrame, **options) -> DataFrame:
-    """doc_id and text of each document."""
-    o = WriteOptions(**options)
+def _pieces(nodes: DataFrame, no_empty: frozenset[str] | bool) -> DataFrame:
+    """doc_id and text of each document as XML: what stands before and after each node's children, in document order. Nothing leaves the JVM."""
+    from ..functions import strings as S
+
+    value, name = F.coalesce("value", F.lit("")), F.col("name")
+    attrs = F.array_join(F.transform(F.map_entries(F.coalesce("attrs", F.create_map().cast("map<string,string>"))), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), S.escape_attr(e["value"]), F.lit('"'))), "")
+    keep = F.lit(True) if no_empty is True else F.lit(False) if not no_empty else name.isin(*no_empty)
+    tag, closed = F.concat(F.lit("<"), name, attrs), F.concat(F.lit("</"), name, F.lit(">"))
+    text = {
+        "element": F.when(F.col("size") > 0, F.concat(tag, F.lit(">"))).when(keep, F.concat(tag, F.lit(">"), closed)).otherwise(F.concat(tag, F.lit("/>"))),
+        "text": S.escape_text(value),
+        "cdata": F.concat(F.lit("<![CDATA["), value, F.lit("]]>")),
+        "comment": F.concat(F.lit("<!--"), value, F.lit("-->")),
+        "pi": F.concat(F.lit("<?"), name, F.when(value != "", F.concat(F.lit(" "), value)).otherwise(""), F.lit("?>")),
+        "charref": F.concat(F.lit("&#"), value, F.lit(";")),
+        "entityref": F.concat(F.lit("&"), name, F.lit(";")),
+        "dtd": value,
+        "error": F.concat(F.lit("<!-- "), F.coalesce(name, F.lit("error")), F.lit(": "), value, F.lit(" -->")),
+    }
+    before = F.lit("")
+    for kind, x in text.items():
+        before = F.when(F.col("kind") == kind, x).otherwise(before)
+    opened = F.struct(F.col("pre").alias("p"), F.lit(0).alias("l"), before.alias("s"))
+    ended = F.struct((F.col("pre") + F.col("size")).alias("p"), (F.lit(1 << 30) - F.col("level")).alias("l"), closed.alias("s"))  # after the last node below; inner ones first
+    both = F.when((F.col("kind") == "element") & (F.col("size") > 0), F.array(opened, ended)).otherwise(F.array(opened))
+    rows = nodes.where("pre is not null").select("doc_id", F.explode(both).alias("x"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "").alias("text"))
 
-    def write(doc_id, tree):
-        s = to_xml(tree, o.method, o.no_empty, o.indent)
-        if o.doctype:
-            s = f"<!DOCTYPE {o.doctype}>\n{s}"
-        if o.xml_pi and o.method in ("xml", "xhtml"):
-            s = f'<?xml version="1.0" encoding="{o.encoding.upper()}"?>\n{s}'
-        return [(doc_id, s)]
 
-    return map_trees(nodes, write, "doc_id long, text string")
+def serialize(nodes: DataFrame, **options) -> DataFrame:
+    """doc_id and text of each document. Plain XML is put together by Spark; indentation, HTML and plain text go through trees."""
+    o = WriteOptions(**options)
+    pi, doctype = f'<?xml version="1.0" encoding="{o.encoding.upper()}"?>\n', f"<!DOCTYPE {o.doctype}>\n"
+    head = (pi if o.xml_pi and o.method in ("xml", "xhtml") else "") + (doctype if o.doctype else "")
+    if o.method == "xml" and not o.indent:
+        return _pieces(nodes, o.no_empty).select("doc_id", F.concat(F.lit(head), "text").alias("text"))
+    return map_trees(nodes, lambda i, t: [(i, head + to_xml(t, o.method, o.no_empty, o.indent))], "doc_id long, text string")
 
 
 def write_documents(nodes: DataFrame, path: str, **options) -> None:

@@ -36,3 +36,24 @@ def test_shred_and_store(spark):
     assert key(kept.collect()) == key(nodes.collect())
     assert {(r["doc_id"], r["level"]) for r in documents.status(kept).collect()} == {(1, 0), (2, 3), (None, 3)}
     assert documents.store(documents.shred(docs.limit(0))).collect() == []
+
+
+def test_serialized_by_spark_as_by_trees(spark):
+    from sylva.sources.documents import map_trees, serialize, shred
+    from sylva.sources.serialize import to_xml
+
+    texts = [
+        "<a/>",
+        '<a k="&lt;&amp;&quot;x&#10;y\'">t &lt; u &amp; v<b><c/><c>x</c></b><!-- c --><?p q?><?r?><![CDATA[<z>]]></a>',
+        "<!DOCTYPE a [<!ELEMENT a ANY>]><a><b><c><d/></c></b><b/>tail</a>",
+        "<x:a xmlns:x='urn:x'><x:b>é\n </x:b></x:a>",
+        "no xml",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for canonicalize in (True, False):
+        nodes = shred(docs, canonicalize=canonicalize)
+        for no_empty in (False, True, frozenset("c")):
+            want = map_trees(nodes, lambda i, t, n=no_empty: [(i, to_xml(t, "xml", n))], "doc_id long, text string")
+            got = serialize(nodes, xml_pi=False, no_empty=no_empty)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Python" not in serialize(nodes)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]

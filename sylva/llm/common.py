@@ -102,6 +102,33 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return each
 
 
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of the first column, by which rows come sorted, and where the runs begin and end. Each row is copied once, however long its run."""
+
+    def cut(parts):
+        table = pa.concat_tables(parts)
+        key = table.column(0).to_numpy()
+        return table, np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table, key = pa.Table.from_batches([batch]), batch.column(0).to_numpy()
+        if held and key[0] != last:
+            yield cut(held)
+            held = []
+        last = key[-1]
+        other = np.flatnonzero(key != last)
+        if len(other):
+            yield cut([*held, table.slice(0, int(other[-1]) + 1)])
+            held = [table.slice(int(other[-1]) + 1)]
+        else:
+            held.append(table)
+    if held:
+        yield cut(held)
+
+
 def parted(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of docs that are certainly not among keys, and the others with _sylva_x, the hash of their text.
 

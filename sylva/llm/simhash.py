@@ -148,45 +148,22 @@ def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     """Edges (u, v), no more than the members of a bucket, between distinct fingerprints (column fp) within max_bits (2 at most)."""
     if max_bits > 2:
         raise ValueError("two of four blocks agree only up to 2 differing bits")
-    keys = [
-        F.struct(F.lit(n).alias("pair"), (F.shiftrightunsigned("fp", 16 * x).bitwiseAND(65535) * 65536 + F.shiftrightunsigned("fp", 16 * y).bitwiseAND(65535)).alias("key"))
-        for n, (x, y) in enumerate(_PAIRS)
-    ]
-    dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.pair", "k.key", "fp")
-    dealt = dealt.repartition("pair", "key").sortWithinPartitions("pair", "key")
+    keys = [F.lit(n << 32) + F.shiftrightunsigned("fp", 16 * x).bitwiseAND(65535) * 65536 + F.shiftrightunsigned("fp", 16 * y).bitwiseAND(65535) for n, (x, y) in enumerate(_PAIRS)]
+    dealt = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
 
     def run(batches):
-        def settle(pair, key, fp):
-            """Links within runs of one key; rows come sorted."""
-            cut = np.flatnonzero((np.diff(pair) != 0) | (np.diff(key) != 0)) + 1
-            size = np.diff(np.concatenate(([0], cut, [len(fp)])))
-            us, vs = [], []
-            start = np.concatenate(([0], cut))
-            two = start[size == 2]
-            if len(two):  # most buckets hold one or two
-                x, y = fp[two], fp[two + 1]
-                ok = np.abs(np.bitwise_count(x[:, None] ^ PIVOTS).astype(np.int16) - np.bitwise_count(y[:, None] ^ PIVOTS)).max(axis=1) <= max_bits
-                ok &= np.bitwise_count(x ^ y) <= max_bits
-                us.append(x[ok]), vs.append(y[ok])
+        for rows, at in common.runs(batches):
+            key, fp = rows.column(0).to_numpy(), rows.column(1).to_numpy().view(np.uint64)
+            start, size = at[:-1], np.diff(at)
+            two = start[size == 2]  # most buckets hold one or two
+            x, y = fp[two], fp[two + 1]
+            ok = np.abs(np.bitwise_count(x[:, None] ^ PIVOTS).astype(np.int16) - np.bitwise_count(y[:, None] ^ PIVOTS)).max(axis=1, initial=0) <= max_bits
+            ok &= np.bitwise_count(x ^ y) <= max_bits
+            us, vs = [x[ok]], [y[ok]]
             for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                u, v = bucket_links(fp[s : s + n], int(pair[s]), max_bits)
+                u, v = bucket_links(fp[s : s + n], int(key[s] >> 32), max_bits)
                 us.append(u), vs.append(v)
-            return np.concatenate(us) if us else np.zeros(0, np.uint64), np.concatenate(vs) if vs else np.zeros(0, np.uint64)
-
-        held = None
-        for batch in batches:
-            new = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if not len(held[0]):
-                continue
-            whole = int(np.searchsorted((held[0] != held[0][-1]) | (held[1] != held[1][-1]), False)) if (held[0][0], held[1][0]) == (held[0][-1], held[1][-1]) else int(np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))[-1]) + 1
-            if whole:
-                u, v = settle(*(x[:whole] for x in held))
-                held = [x[whole:] for x in held]
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-        if held is not None and len(held[0]):
-            u, v = settle(*held)
+            u, v = np.concatenate(us), np.concatenate(vs)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 

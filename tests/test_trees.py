@@ -3,6 +3,7 @@
 import pytest
 
 from sylva import model
+from sylva.operators import xslt
 from sylva.sources import documents, xml
 
 DOCUMENTS = [
@@ -57,3 +58,13 @@ def test_serialized_by_spark_as_by_trees(spark):
             got = serialize(nodes, xml_pi=False, no_empty=no_empty)
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "Python" not in serialize(nodes)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+
+
+def test_stylesheet_keys():
+    """key() finds what xsl:key names, in templates and global variables, also by a node set; a name without nodes finds nothing."""
+    head = '<xsl:stylesheet version="1.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform"><xsl:key name="k" match="c" use="../@n"/><xsl:variable name="v" select="count(key(\'k\', \'y\'))"/>'
+    body = '<xsl:template match="/"><xsl:value-of select="concat(count(key(\'k\', \'x\')), \'/\', $v, \'/\', count(key(\'k\', //w)), \'/\', count(key(\'k\', \'z\')), \'/\', count(key(\'none\', \'x\')))"/></xsl:template></xsl:stylesheet>'
+    sheet = xslt.compile_stylesheet(head + body)
+    for source, want in (('<a><g n="x"><c/><c/><d/></g><g n="y"><c/></g><w>x</w><w>y</w></a>', "2/1/3/0/0"), ("<a/>", "0/0/0/0/0")):
+        tree, _ = documents.parse(source, documents.ReadOptions())
+        assert xslt.transform(tree, sheet).text() == want

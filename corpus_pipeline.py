@@ -1,7 +1,8 @@
 """The training-corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing.
 
 Each stage reads what the stage before it wrote and returns the columns of documents, the last one the packed pieces.
-Near-dedup keeps one text of those with five-word shingle sets of similarity 0.8 or more; it is not the SimHash of operator 10.
+Near-dedup is operator 10's SimHash (fingerprints, blocks, pivot distance tables, components) of five-word shingle sets, and beyond it the exact
+join of sets of similarity 0.8 or more, most of which SimHash alone would leave; one text of each group stays.
 A document that line dedup leaves without a word is dropped there, as all of it stands in documents before.
 """
 
@@ -28,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, max_bits=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,10 @@ buckets are one. Only then do the whole sets come, those of clusters alone, and
 search takes out what it reaches, so a large group of copies is met once, and links are a spanning forest, never pairs.
 A group is a connected component. Equal sets are one node.
 
+With max_bits, SimHash links sets as well: each set has a 64-bit fingerprint by the majority of its shingles' hashes, and those that differ in
+max_bits at most are found by operator 10's blocks and pivot distance tables. These links and those of the set join are one graph, as SimHash alone loses
+most pairs of similarity 0.8 (about ten bits apart).
+
 Defined cases: texts without words have an empty set and are alike. Fewer words than a shingle: the whole word sequence is
 the shingle. Words are in lower case (ASCII), split at ASCII white space. Only doc_id and text are read.
 """
@@ -30,6 +34,8 @@ from .decontaminate import gram_hashes
 SAMPLE = 20_000
 FREQUENT = 4
 BITS = (512, 4096)
+#: Shingles whose bits are counted at once.
+PIECE = 1 << 16
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -62,6 +68,14 @@ def parity(own: np.ndarray) -> bytes:
     return np.packbits(odd).tobytes()
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """The SimHash of a set, as a signed long: a bit is one where more than half of the shingles' hashes have it; zero for an empty set."""
+    count = np.zeros(64, np.int64)
+    for k in range(0, len(own), PIECE):
+        count += np.unpackbits(own[k : k + PIECE].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(own)).view(np.int64)[0])
+
+
 class Maps:
     """Parity maps of several widths; two are compared at the lesser width, to which the other is folded."""
 
@@ -131,21 +145,21 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def shingle_table(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """A written table of doc_id, h (a hash of the text), sig (a hash of the set), n (its size), bits (its parity map) and prefix."""
+    """A written table of doc_id, h (a hash of the text), sig (a hash of the set), fp (its fingerprint), n (its size), bits (its parity map) and prefix."""
     last = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            sig, n, bits, first = [], [], [], []
+            sig, fp, n, bits, first = [], [], [], [], []
             for own in shingle_sets(batch.column(2), words):
-                sig.append(_signature(own)), n.append(len(own)), bits.append(parity(own))
+                sig.append(_signature(own)), fp.append(fingerprint(own)), n.append(len(own)), bits.append(parity(own))
                 first.append(prefix(own, last.value, least).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in first]))), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sig, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), lists], ["doc_id", "h", "sig", "n", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sig, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), lists], ["doc_id", "h", "sig", "fp", "n", "bits", "prefix"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return common.write_table(rows.mapInArrow(common.lean(run), f"doc_id {kind}, h long, sig long, n long, bits binary, prefix array<long>"), "shingles")
+    return common.write_table(rows.mapInArrow(common.lean(run), f"doc_id {kind}, h long, sig long, fp long, n long, bits binary, prefix array<long>"), "shingles")
 
 
 def _shared(table: DataFrame) -> DataFrame:
@@ -234,9 +248,22 @@ def links(docs: DataFrame, table: DataFrame, words: int, least: float) -> DataFr
     return dealt.mapInArrow(common.lean(run), "u long, v long")
 
 
-def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """One row of each group, that of the smallest id (a null id comes last), with all its columns."""
+def simhash_links(table: DataFrame, max_bits: int) -> DataFrame:
+    """Edges (u, v) between signatures of sets whose fingerprints differ in max_bits at most; of the sets of one fingerprint, the first stands for it."""
+    first = common.write_table(table.groupBy("fp").agg(F.min("sig").alias("first"), F.max("sig").alias("last")), "fingerprints")
+    several = first.where("first < last").select("fp", "first")
+    same = table.join(several, "fp").where("sig > first").select(F.col("sig").alias("u"), F.col("first").alias("v"))
+    near = simhash.links(first.select("fp"), max_bits)
+    near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    return same.union(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, max_bits: int | None = None) -> DataFrame:
+    """One row of each group, that of the smallest id (a null id comes last), with all its columns. max_bits: that of SimHash links, which then count too."""
     table = shingle_table(docs, words, least)
     first = table.groupBy("sig").agg(F.min(simhash.place()).alias("k"))
-    roots = components(links(docs, table, words, least)).select(F.col("node").alias("sig"), "root")
+    edges = links(docs, table, words, least)
+    if max_bits is not None:
+        edges = edges.union(simhash_links(table, max_bits))
+    roots = components(edges).select(F.col("node").alias("sig"), "root")
     return simhash.rows_at(docs, table, first.join(roots, "sig", "left").groupBy(F.coalesce("root", "sig").alias("component")).agg(F.min("k").alias("k")))

@@ -4,9 +4,12 @@ import random
 import zlib
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from test_operators import passage, prose
+from sylva.llm import neardup
+from test_operators import brute_sets, passage, prose, union_find
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +60,34 @@ def test_near_copy_goes(spark, folder):
     path, _, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id in (1, 2, 36)")
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, path).collect()} == {1, 2}
+
+
+def test_near_dedup_by_simhash(spark):
+    """Groups are those of all pairs of 2 differing bits or a similarity of 0.8, by brute force; some pairs are linked by SimHash alone and some by their sets alone."""
+    r = random.Random(14)
+    texts, w = [None, "", " \n", "one", "one two"], prose(r, 90).split()
+    for k in range(1500):  # two edits each: a similarity of about 0.65 to 0.8, and some within 2 bits
+        own = w[:]
+        for at in r.sample(range(8, 82), 1 + k % 2):
+            own[at] = f"edit{k}"
+        texts.append(" ".join(own))
+    sets = [brute_sets(t) for t in texts]
+    hashes = list(neardup.shingle_sets(pa.array(texts, pa.string()), 5))
+    assert [len(x) for x in hashes] == [len(x) for x in sets]
+    bits = [[2 * sum(int(h) >> b & 1 for h in own) > len(own) for b in range(64)] for own in hashes]
+    fp = np.array([sum(1 << b for b, x in enumerate(own) if x) for own in bits], np.uint64)
+    # pairs of 2 bits at most that are less alike than 0.8
+    near = [(i, j) for i in range(5, len(texts)) for j in (5 + np.flatnonzero(np.bitwise_count(fp[5:i] ^ fp[i]) <= 2)).tolist() if 5 * len(sets[i] & sets[j]) < 4 * len(sets[i] | sets[j])]
+    assert near
+    some = sorted({*range(5), *near[0], *near[-1], *range(5, 45)})
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    by_sets = [(i, j) for i in some for j in some if j < i and alike(sets[i], sets[j])]
+    by_bits = [(i, j) for i in some for j in some if j < i and int(fp[i] ^ fp[j]).bit_count() <= 2]
+    want = set(union_find(some, by_sets + by_bits).values())
+    assert want != set(union_find(some, by_sets).values()) and want != set(union_find(some, by_bits).values())
+    docs = spark.createDataFrame([(k, texts[k]) for k in some], "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert {g["doc_id"] for g in got} == want and len(got) == len(want)
+    for i, j in (near[0], near[-1]):
+        pair = docs.where(f"doc_id in ({i}, {j})")
+        assert [g["doc_id"] for g in corpus_pipeline.near_dedup(spark, pair, "").collect()] == [min(i, j)]

@@ -61,11 +61,16 @@ def bound_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+#: For tables of cells of up to megabytes that are compressed themselves: else Parquet looks at a page's size after 100 rows only, so that a page,
+#: its codec's buffers and a row group hold a task's whole output, when written and when read.
+WIDE = {"compression": "uncompressed", "parquet.page.size.row.check.min": "1", "parquet.block.size": str(4 << 20)}
+
+
+def write_table(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it back. Deleted when Python exits."""
     spark = bound_batches(df.sparkSession)
     path = f"{shared_dir(spark)}/sylva-{uuid.uuid4().hex[:12]}/{name}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     atexit.register(_delete, spark, path.rsplit("/", 1)[0])
     return spark.read.schema(df.schema).parquet(path)
 

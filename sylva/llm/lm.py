@@ -132,7 +132,7 @@ def chunks(docs: DataFrame, train: Column, deleted: int) -> DataFrame:
 
     aside = F.pmod(F.xxhash64("doc_id"), F.lit(deleted)) == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"), aside.alias("aside"))
-    return common.write_table(rows.mapInArrow(common.lean(run), ROW), "chunks")
+    return common.write_table(rows.mapInArrow(common.lean(run), ROW), "chunks", common.WIDE)
 
 
 def even_keys(spark, parts: int, each: int) -> np.ndarray:
@@ -207,7 +207,7 @@ def answers(table: DataFrame, shards: int) -> DataFrame:
         if held:
             yield from map(batch_of, settle())
 
-    return common.write_table(dealt.mapInArrow(common.lean(total), "chunk long, part int, shard int, a binary, b binary"), "answers")
+    return common.write_table(dealt.mapInArrow(common.lean(total), "chunk long, part int, shard int, a binary, b binary"), "answers", common.WIDE)
 
 
 class Chunk:

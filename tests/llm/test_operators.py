@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -390,6 +391,20 @@ def test_lm_counts_by_brute_force(spark, docs):
     assert got == want
 
 
+def test_lm_wide_tables(spark, monkeypatch):
+    """Row groups of the tables of wide cells are bounded, so that neither a writer nor a reader holds a task's whole output; and the counts are whole."""
+    monkeypatch.setattr(lm, "CHUNK", 1 << 14)
+    r = np.random.default_rng(15)
+    texts = [" ".join(map(str, r.integers(0, 1 << 40, 40_000))) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    table = lm.chunks(df, F.lit(True), 20)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in table.inputFiles()]
+    size = [f.row_group(k).total_byte_size for f in files for k in range(f.num_row_groups)]
+    assert sum(size) > 12 << 20 and max(size) < 6 << 20
+    scores = lm.score(df, F.lit(True), 20).select("n_tokens", "n_known", "train_tokens").collect()
+    assert len(scores) == 30 and {tuple(x) for x in scores} == {(40_001, 40_001, 30 * 40_001)}
+
+
 def test_lm_weights_and_scores_by_brute_force(spark, docs):
     """The weights are the likeliest for the documents set aside, and a score is the sum of the mixture's logarithms."""
     aside = (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0) & train(7)

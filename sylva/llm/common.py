@@ -61,16 +61,22 @@ def bound_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-#: For tables of cells of up to megabytes that are compressed themselves: else Parquet looks at a page's size after 100 rows only, so that a page,
-#: its codec's buffers and a row group hold a task's whole output, when written and when read.
-WIDE = {"compression": "uncompressed", "parquet.page.size.row.check.min": "1", "parquet.block.size": str(4 << 20)}
+#: For tables of wide cells that are compressed themselves: else Parquet looks at a page's size after 100 rows only, so that a page, its codec's
+#: buffers and a row group hold a task's whole output, when written and when read. A row group is read as one array, so it is held under half a
+#: megabyte, beyond which G1 takes more heap rather than collect.
+WIDE = {"compression": "uncompressed", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.page.size": str(128 << 10), "parquet.block.size": str(384 << 10)}
 
 
-def write_table(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
-    """Cuts lineage: writes df as Parquet into the shared folder and reads it back. Deleted when Python exits."""
+def write_table(df: DataFrame, name: str, options: dict[str, str] | None = None, batch: int = BATCH_BYTES) -> DataFrame:
+    """Cuts lineage: writes df as Parquet into the shared folder and reads it back. Deleted when Python exits. batch: bytes of an Arrow batch at most, if fewer."""
     spark = bound_batches(df.sparkSession)
     path = f"{shared_dir(spark)}/sylva-{uuid.uuid4().hex[:12]}/{name}"
-    df.write.options(**(options or {})).parquet(path)
+    was = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(was), batch)))
+    try:
+        df.write.options(**(options or {})).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, was)
     atexit.register(_delete, spark, path.rsplit("/", 1)[0])
     return spark.read.schema(df.schema).parquet(path)
 

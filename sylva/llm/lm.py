@@ -17,6 +17,7 @@ documents all probabilities are 1 (V = 0). Ids must be whole numbers or null. On
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,12 @@ from . import common
 CHUNK = 1 << 20
 #: Tokens whose probabilities are computed at once.
 SLICE = 1 << 17
+#: Values of a cell at most, so that neither Spark nor Parquet makes arrays of half a megabyte or more: those G1 lays out by themselves, and it takes more heap rather than collect.
+PIECE = 1 << 15
+#: Keys of a shard that are summed at once.
+SUM = 1 << 19
+#: Bytes of an Arrow batch that a worker gets, and of the cells that it returns at once.
+BATCH, BACK = 1 << 20, 1 << 18
 END = np.uint64(0x5EED0FE0D0C5E4D1)
 #: Bins an octave of the likelihoods whose counts EM sees.
 FINE = 8
@@ -58,34 +65,64 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 def bigrams(t: np.ndarray) -> np.ndarray:
     """56-bit hashes of each token with the one before it."""
-    return common.mix(common.mix(np.concatenate((np.array([END]), t[:-1]))) + t) >> np.uint64(8)
+    out = np.empty(len(t), np.uint64)
+    for k in range(0, len(t), SLICE):
+        own = t[k : k + SLICE]
+        before = np.concatenate((t[k - 1 : k] if k else np.array([END]), own[:-1]))
+        out[k : k + SLICE] = common.mix(common.mix(before) + own) >> np.uint64(8)
+    return out
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them; as np.unique, with less memory."""
+    order = np.argsort(x)
+    x = x[order]
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    place = np.empty(len(x), np.int32)
+    place[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    return x[first], place
 
 
-#: Columns of a chunk's rows; part: 0 words, 1 bigrams (keys and training counts), 2 documents.
-ROW = "chunk long, em boolean, part int, a binary, b binary, c binary, d binary, e binary"
-_NAMES = ["chunk", "em", "part", "a", "b", "c", "d", "e"]
+#: Columns of a chunk's rows, of PIECE values each; part: 0 words, 1 bigrams (keys and training counts), 2 place of each token's word by
+#: frequency, 3 words by frequency, 4 documents (sizes, ids, whether the id is null and whether it counts).
+ROW = "chunk long, em boolean, part int, piece int, a binary, b binary, c binary"
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[3:])], _NAMES)
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows of a schema of whole numbers, booleans and bytes as an Arrow batch."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [f for f, _ in fields])
 
 
-def chunk_rows(chunk: int, em: bool, t: np.ndarray, size: np.ndarray, train: np.ndarray, ids: list) -> list[tuple]:
+def chunk_rows(chunk: int, em: bool, t: np.ndarray, size: np.ndarray, train: np.ndarray, ids: list) -> Iterator[tuple]:
     """The rows of a chunk: t holds the tokens of documents of `size` tokens, those of `train` count."""
     learn = np.repeat(train, size)
-    out = []
-    keys, inverse = np.unique(t, return_inverse=True)
-    rank = np.argsort(-np.bincount(inverse, minlength=len(keys)), kind="stable")
-    place = np.empty(len(keys), np.uint32)
-    place[rank] = np.arange(len(keys), dtype=np.uint32)
-    out.append((chunk, em, 0, pack_keys(keys), pack_ints(np.bincount(inverse[learn], minlength=len(keys)).astype(np.uint32)), None, None, None))
+
+    def cut(n):
+        return enumerate(slice(k, k + PIECE) for k in range(0, n, PIECE))
+
+    def counted(part, keys, place):
+        count = np.bincount(place[learn], minlength=len(keys)).astype(np.uint32)
+        for k, own in cut(len(keys)):
+            yield chunk, em, part, k, pack_keys(keys[own]), pack_ints(count[own]), None
+
+    keys, place = distinct(t)
+    yield from counted(0, keys, place)
+    rank = np.argsort(-np.bincount(place, minlength=len(keys)), kind="stable").astype(np.uint32)
+    of = np.empty(len(keys), np.uint32)
+    of[rank] = np.arange(len(keys), dtype=np.uint32)
+    for k, own in cut(len(t)):
+        yield chunk, em, 2, k, pack_ints(of[place[own]]), None, None
+    for k, own in cut(len(rank)):
+        yield chunk, em, 3, k, pack_ints(rank[own]), None, None
     null = np.array([x is None for x in ids], np.uint8)
     whole = np.array([x or 0 for x in ids], np.int64)
-    out.append((chunk, em, 2, pack_ints(place[inverse]), pack_ints(rank.astype(np.uint32)), pack_ints(size.astype(np.uint64)), whole.tobytes(), null.tobytes() + train.astype(np.uint8).tobytes()))
-    keys, inverse = np.unique(bigrams(t), return_inverse=True)
-    out.append((chunk, em, 1, pack_keys(keys), pack_ints(np.bincount(inverse[learn], minlength=len(keys)).astype(np.uint32)), None, None, None))
-    return out
+    for k, own in cut(len(ids)):
+        yield chunk, em, 4, k, pack_ints(size[own].astype(np.uint64)), whole[own].tobytes(), null[own].tobytes() + train[own].astype(np.uint8).tobytes()
+    del keys, place, rank, of
+    yield from counted(1, *distinct(bigrams(t)))
 
 
 def chunks(docs: DataFrame, train: Column, deleted: int) -> DataFrame:
@@ -97,12 +134,12 @@ def chunks(docs: DataFrame, train: Column, deleted: int) -> DataFrame:
 
         def settle(em: bool):
             nonlocal made
-            t, size, learn, ids, _ = held[em]
-            rows = chunk_rows(base + made, em, np.concatenate(t), np.concatenate(size), np.concatenate(learn), ids)
-            made += 1
+            t, size, learn = (np.concatenate(x) for x in held[em][:3])
+            ids = held[em][3]
             held[em] = [[], [], [], [], 0]
-            for row in rows:
-                yield _rows([row])
+            made += 1
+            for row in chunk_rows(base + made - 1, em, t, size, learn, ids):
+                yield batch_of([row], ROW)
 
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
@@ -132,7 +169,7 @@ def chunks(docs: DataFrame, train: Column, deleted: int) -> DataFrame:
 
     aside = F.pmod(F.xxhash64("doc_id"), F.lit(deleted)) == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"), aside.alias("aside"))
-    return common.write_table(rows.mapInArrow(common.lean(run), ROW), "chunks", common.WIDE)
+    return common.write_table(rows.mapInArrow(common.lean(run), ROW), "chunks", common.WIDE, BATCH)
 
 
 def even_keys(spark, parts: int, each: int) -> np.ndarray:
@@ -143,98 +180,114 @@ def even_keys(spark, parts: int, each: int) -> np.ndarray:
 
 
 def answers(table: DataFrame, shards: int) -> DataFrame:
-    """A written table: for each chunk, part and shard the corpus's counts of its keys, in order, without (a) and with (b) documents set aside; and, as chunk -1, sums."""
+    """A written table: for each chunk, part and shard the corpus's counts of its keys, in the order of `at`, without (a) and with (b) documents set aside; and, as chunk -1, sums."""
 
     names_of = even_keys(table.sparkSession, shards, 2)
-    place_of = {int(x): s for s, own in enumerate(names_of) for x in own}
+    sent = "shard int, chunk long, em boolean, part int, at long, a binary, b binary"
+    back = "chunk long, part int, at long, a binary, b binary"
 
     def deal(batches):
         for batch in batches:
-            for chunk, em, part, keys, count in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for chunk, em, part, piece, keys, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys, count = unpack_keys(keys), unpack_ints(count, np.uint32)
                 top = keys >> np.uint64(32 if part == 0 else 24)
                 shard = (top * np.uint64(shards)) >> np.uint64(32)
                 cut = np.searchsorted(shard, np.arange(shards + 1))
-                rows = [[], [], [], [], [], []]
+                rows = []
                 for s in np.flatnonzero(np.diff(cut)).tolist():
                     own = slice(int(cut[s]), int(cut[s + 1]))
-                    for col, v in zip(rows, (int(names_of[s, part]), chunk, em, part, pack_keys(keys[own]), pack_ints(count[own])), strict=True):
-                        col.append(v)
-                kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["shard", "chunk", "em", "part", "a", "b"])
-
-    dealt = table.where(F.col("part") < 2).select("chunk", "em", "part", "a", "b").mapInArrow(common.lean(deal), "shard int, chunk long, em boolean, part int, a binary, b binary")
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
-    names = ["chunk", "part", "shard", "a", "b"]
-
-    def total(batches):
-        held: list[tuple] = []
-
-        def settle():
-            part = held[0][3]
-            shard = place_of[held[0][0]]
-            keys = [unpack_keys(x[4]) for x in held]
-            size = [len(x) for x in keys]
-            whole, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            keys.clear()
-            main, aside = np.zeros(len(whole)), np.zeros(len(whole))
+                    rows.append((int(names_of[s, part]), chunk, em, part, piece * shards + s, pack_keys(keys[own]), pack_ints(count[own])))
+                yield batch_of(rows, sent)
+
+    dealt = table.where(F.col("part") < 2).select("chunk", "em", "part", "piece", "a", "b").mapInArrow(common.lean(deal), sent)
+
+    def settle(rows: list[tuple]):
+        """The answers to rows of one part and shard; rows is emptied."""
+        part = rows[0][2]
+        head = [(x[0], x[1], x[3]) for x in rows]
+        keys = [unpack_keys(x[4]) for x in rows]
+        count = [unpack_ints(x[5], np.uint32) for x in rows]
+        rows.clear()
+        steps = sum(map(len, keys)) // SUM + 1
+        low, high = min(int(x[0]) for x in keys), max(int(x[-1]) for x in keys)
+        edges = np.array([low + (high - low) * k // steps for k in range(1, steps)], np.uint64)
+        cuts = [[0, *np.searchsorted(x, edges).tolist(), len(x)] for x in keys]
+        every = [np.empty(len(x), np.uint64) for x in keys]
+        main = [np.empty(len(x), np.uint64) if em else None for x, (_, em, _) in zip(keys, head, strict=True)]
+        sums = np.zeros(4)
+        for k in range(steps):
+            own = [(i, slice(c[k], c[k + 1])) for i, c in enumerate(cuts) if c[k] < c[k + 1]]
+            if not own:
+                continue
+            whole, place = distinct(np.concatenate([keys[i][x] for i, x in own]))
+            n = np.concatenate([count[i][x] for i, x in own])
+            with_aside = np.bincount(place, weights=n, minlength=len(whole))
+            n[np.repeat([head[i][1] for i, _ in own], [x.stop - x.start for _, x in own])] = 0
+            without = np.bincount(place, weights=n, minlength=len(whole))
+            sums += ((with_aside > 0).sum(), with_aside.sum(), (without > 0).sum(), without.sum())
             at = 0
-            for x, n in zip(held, size, strict=True):
-                (aside if x[2] else main)[inverse[at : at + n]] += unpack_ints(x[5], np.uint32)  # keys of a chunk are distinct
-                at += n
-            every = main + aside
-            if part == 0:
-                yield [-1], [0], [shard], [np.array([(every > 0).sum(), every.sum(), (main > 0).sum(), main.sum()], np.float64).tobytes()], [None]
-            at, out = 0, [[], [], [], [], []]
-            for x, n in zip(held, size, strict=True):
-                own = inverse[at : at + n]
-                row = (x[1], part, shard, pack_ints(main[own].astype(np.uint64)) if x[2] else None, pack_ints(every[own].astype(np.uint64)))
-                for col, v in zip(out, row, strict=True):
-                    col.append(v)
-                at += n
-            held.clear()
-            yield out
-
-        def batch_of(cols):
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+            for i, x in own:
+                to = place[at : at + x.stop - x.start]
+                every[i][x] = with_aside[to]
+                if main[i] is not None:
+                    main[i][x] = without[to]
+                at += len(to)
+        keys.clear(), count.clear()
+        if part == 0:
+            yield -1, 0, 0, sums.tobytes(), None
+        for i, (chunk, _, at) in enumerate(head):
+            yield chunk, part, at, None if main[i] is None else pack_ints(main[i]), pack_ints(every[i])
+            main[i] = every[i] = None
 
+    def total(batches):
+        held = defaultdict(list)  # by part and shard: a partition has one shard of each part
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield from map(batch_of, settle())
-                held.append(row)
-        if held:
-            yield from map(batch_of, settle())
+                held[row[0]].append(row[1:])
+        while held:
+            out, size = [], 0
+            for row in settle(held.popitem()[1]):
+                out.append(row)
+                size += sum(len(x) for x in row[3:] if x is not None)
+                if size >= BACK:
+                    yield batch_of(out, back)
+                    out, size = [], 0
+            if out:
+                yield batch_of(out, back)
 
-    return common.write_table(dealt.mapInArrow(common.lean(total), "chunk long, part int, shard int, a binary, b binary"), "answers", common.WIDE)
+    return common.write_table(dealt.repartition(shards, "shard").mapInArrow(common.lean(total), back), "answers", common.WIDE, BATCH)
 
 
 class Chunk:
     """A chunk with the counts it was answered."""
 
     def __init__(self, rows: list[tuple]):
-        """rows: (part, shard, a, b, c, d, e), where shard is -1 for the chunk's own and a counts' row has part + 10."""
-        own = {r[0]: r for r in rows if r[1] < 0}
-        keys, docs = unpack_keys(own[0][2]), own[2]
-        self.rank = unpack_ints(docs[3], np.uint32)
-        self.id = self.rank[unpack_ints(docs[2], np.uint32)].astype(np.int64)  # place of each token's word among the keys
-        self.size = unpack_ints(docs[4], np.uint64).astype(np.int64)
-        null, flags = np.frombuffer(docs[6], np.uint8).reshape(2, -1)
-        self.doc_ids = pa.array(np.frombuffer(docs[5], np.int64), mask=null.astype(bool))
+        """rows: (part, place among the part's rows, a, b, c); a counts' row has part + 10. rows is emptied."""
+        of = defaultdict(list)
+        for r in sorted(rows, key=lambda r: r[:2]):
+            of[r[0]].append(r[2:])
+        rows.clear()
+
+        def whole(part, kind, col=0):
+            return np.concatenate([unpack_ints(x[col], kind) for x in of[part]])
+
+        keys = np.concatenate([unpack_keys(x[0]) for x in of.pop(0)])
+        self.id = whole(3, np.uint32).astype(np.int32)[whole(2, np.uint32)]  # place of each token's word among the keys
+        self.size = whole(4, np.uint64).astype(np.int64)
+        null, flags = np.concatenate([np.frombuffer(x[2], np.uint8).reshape(2, -1) for x in of[4]], axis=1)
+        self.doc_ids = pa.array(np.frombuffer(b"".join(x[1] for x in of[4]), np.int64), mask=null.astype(bool))
         self.train = flags.astype(bool)
         self.end = int(np.searchsorted(keys, END))
         self.answers = {}
         for part in (0, 1):
-            for col in (2, 3):
-                got = [r[col] for r in sorted((r for r in rows if r[0] == part + 10), key=lambda r: r[1])]
-                self.answers[part, col] = None if any(x is None for x in got) else np.concatenate([unpack_ints(x, np.uint64) for x in got]).astype(np.float64)
-        self.bigram = np.unique(bigrams(keys[self.id]), return_inverse=True)[1].astype(np.int32)
-        self.id = self.id.astype(np.int32)
+            for col in (0, 1):
+                self.answers[part, col] = None if any(x[col] is None for x in of[part + 10]) else whole(part + 10, np.uint64, col).astype(np.float64)
+        of.clear()
+        self.bigram = distinct(bigrams(keys[self.id]))[1]
 
     def counts(self, aside: bool):
         """For slices of the tokens: where they begin, and the counts of each token's context, of the token and of both; with aside, without the documents set aside."""
-        uni, bi = self.answers[0, 2 if aside else 3], self.answers[1, 2 if aside else 3]
+        uni, bi = self.answers[0, 0 if aside else 1], self.answers[1, 0 if aside else 1]
         for k in range(0, len(self.id), SLICE):
             own = self.id[k : k + SLICE]
             context = np.concatenate(([self.id[k - 1] if k else self.end], own[:-1]))
@@ -246,11 +299,11 @@ def by_chunk(table: DataFrame, answered: DataFrame, em_only: bool, run, schema:
     own = table.where(F.col("part") != 1)
     if em_only:
         own = own.where("em")
-        answered = answered.join(own.where("part = 2").select("chunk"), "chunk", "left_semi")
+        answered = answered.join(own.where("part = 4 and piece = 0").select("chunk"), "chunk", "left_semi")
     none = F.lit(None).cast("binary")
     words = F.col("part") == 0
-    own = own.select("chunk", "part", F.lit(-1).alias("shard"), "a", F.when(words, none).otherwise(F.col("b")).alias("b"), "c", "d", "e")
-    back = answered.where("chunk >= 0").select("chunk", (F.col("part") + 10).alias("part"), "shard", "a", "b", none.alias("c"), none.alias("d"), none.alias("e"))
+    own = own.select("chunk", "part", F.col("piece").cast("long").alias("at"), "a", F.when(words, none).otherwise(F.col("b")).alias("b"), "c")
+    back = answered.where("chunk >= 0").select("chunk", (F.col("part") + 10).alias("part"), "at", "a", "b", none.alias("c"))
     rows = own.union(back).repartition("chunk").sortWithinPartitions("chunk")
 
     def each(batches):
@@ -296,7 +349,7 @@ def learn(table: DataFrame, answered: DataFrame, n: float, v: float) -> tuple[fl
             cols = (keys >> 40, ((keys >> 20) & 0xFFFFF) - 4096, (keys & 0xFFFFF) - 4096, times)
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names)
 
-    bins = common.write_table(by_chunk(table, answered, True, run, "k long, x long, y long, n long").groupBy("k", "x", "y").agg(F.sum("n").alias("n")), "bins")
+    bins = common.write_table(by_chunk(table, answered, True, run, "k long, x long, y long, n long").groupBy("k", "x", "y").agg(F.sum("n").alias("n")), "bins", batch=BATCH)
     rows = bins.toArrow()  # bins, whatever the corpus's size
     k, x, y, times = (rows.column(c).to_numpy() for c in range(4))
     p = lambda z: np.where(z > 0, 0.0, 2.0 ** (np.minimum(z, 0) / FINE))
@@ -317,7 +370,7 @@ def score(docs: DataFrame, train: Column, deleted: int = 20) -> DataFrame:
     """doc_id, trained, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score of every document."""
     table = chunks(docs, train, deleted)
     spark = docs.sparkSession
-    many = table.where("part = 2").count()
+    many = table.where("part = 4 and piece = 0").count()
     shards = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), many // 4)
     answered = answers(table, shards)
     stats = np.zeros(4)
@@ -348,4 +401,4 @@ def score(docs: DataFrame, train: Column, deleted: int = 20) -> DataFrame:
         yield pa.RecordBatch.from_arrays([chunk.doc_ids, pa.array(chunk.train), pa.array(chunk.size), pa.array(known.astype(np.int64)), pa.array(tokens), pa.array(base), pa.array(total)], names)
 
     found = by_chunk(table, answered, False, run, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return common.write_table(found, "scores")  # a narrow table; written, so that a chunk's megabytes go to Python in small batches
+    return common.write_table(found, "scores", batch=BATCH)  # a narrow table; written, so that a chunk's megabytes go to Python in small batches

@@ -405,6 +405,32 @@ def test_lm_wide_tables(spark, monkeypatch):
     assert len(scores) == 30 and {tuple(x) for x in scores} == {(40_001, 40_001, 30 * 40_001)}
 
 
+def test_lm_cells_are_small(spark):
+    """No cell and no row group has half a megabyte, however many words a chunk and a shard have; and the counts, summed in steps, are whole."""
+    r = np.random.default_rng(16)
+    words = [r.integers(0, 1 << 21, 40_000).tolist() for _ in range(30)]
+    df = spark.createDataFrame([(i, " ".join(map(str, w))) for i, w in enumerate(words)], "doc_id long, text string").coalesce(1)
+    table = lm.chunks(df, F.lit(True), 20)
+    answered = lm.answers(table, 1)
+    for t in (table, answered):
+        cells = [F.max(F.length(c)) for c, kind in t.dtypes if kind == "binary"]
+        files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in t.inputFiles()]
+        groups = [f.row_group(k).total_byte_size for f in files for k in range(f.num_row_groups)]
+        assert max(x for x in [*t.agg(*cells).first(), *groups] if x is not None) < 512 << 10
+
+    def run(chunk):
+        for _, _, word, both in chunk.counts(False):
+            yield pa.RecordBatch.from_arrays([pa.array([word.sum()]), pa.array([both.sum()])], ["w", "b"])
+
+    uni, bi = Counter(), Counter()
+    for w in words:
+        uni.update([*w, None])
+        bi.update(zip([None, *w], [*w, None], strict=True))
+    assert np.frombuffer(answered.where("chunk < 0").first()["a"], np.float64)[:2].tolist() == [len(uni), 30 * 40_001]
+    got = lm.by_chunk(table, answered, False, run, "w double, b double").agg(F.sum("w"), F.sum("b")).first()
+    assert tuple(got) == tuple(sum(n * n for n in c.values()) for c in (uni, bi))
+
+
 def test_lm_weights_and_scores_by_brute_force(spark, docs):
     """The weights are the likeliest for the documents set aside, and a score is the sum of the mixture's logarithms."""
     aside = (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0) & train(7)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import types as T
 
 KINDS = ("root", "element", "text", "cdata", "comment", "pi", "charref", "entityref", "dtd", "attr", "error")
@@ -69,6 +70,8 @@ class Node:
     def text(self) -> str:
         """The string value."""
         if self.kind in ("element", "root"):
+            if len(self.children) == 1 and self.children[0].kind == "text":
+                return self.children[0].value or ""
             return "".join(n.value or "" for n in self.walk() if n.kind in ("text", "cdata"))
         return self.value or ""
 
@@ -123,6 +126,26 @@ def rows(doc_id: int | None, tree: Node) -> list[tuple]:
     return [tuple(r) for r in out]
 
 
+def unlink(tree: Node) -> None:
+    """Takes a tree apart, so that its memory is free at once."""
+    stack = [tree]
+    while stack:
+        n = stack.pop()
+        n.up = None
+        stack.extend(n.children)
+        n.children = []
+
+
+#: Rows of an Arrow batch.
+BATCH_ROWS = 20_000
+
+
+def batches(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """NODE rows as Arrow batches of bounded size."""
+    for k in range(0, len(found), BATCH_ROWS):
+        yield batch(found[k : k + BATCH_ROWS])
+
+
 def batch(found: Iterable[tuple]) -> pa.RecordBatch:
     """NODE rows as an Arrow batch."""
     cols = list(zip(*found, strict=True)) or [()] * len(NODE)
@@ -130,6 +153,25 @@ def batch(found: Iterable[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _ARROW, strict=True)], NODE.fieldNames())
 
 
+def tree_of(found: pa.StructArray) -> Node:
+    """The tree of one document's NODE rows, an Arrow array of structs in any order, read piece by piece."""
+    made: dict[int, Node] = {}
+    top: Node | None = None
+    fields = ("node_id", "parent_id", "kind", "name", "value", "attrs", "ns_uri")
+    order = pc.sort_indices(found.field("pre"))
+    for k in range(0, len(found), BATCH_ROWS):
+        part = found.take(order[k : k + BATCH_ROWS])
+        for i, up, kind, name, value, attrs, ns in zip(*(part.field(c).to_pylist() for c in fields), strict=True):
+            n = made[i] = Node(kind, name, value, dict(attrs or []), ns=ns or "")
+            if up in made:
+                made[up].children.append(n)
+            elif top is None:
+                top = n
+    if top is None:
+        raise ValueError("no rows")
+    return link(top)
+
+
 def tree(found: list) -> Node:
     """The tree of one document's NODE rows (Row or dict), in any order."""
     found = sorted(found, key=lambda r: r["pre"])

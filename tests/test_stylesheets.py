@@ -40,6 +40,53 @@ def test_calls_without_end(call):
         run("<a/>", body)
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        '<xsl:template match="/"><xsl:apply-templates select="//c"/></xsl:template><xsl:template match="c">c</xsl:template><xsl:template match="g/c[b &lt; 0]">n</xsl:template>',
+    ],
+)
+def test_wide_documents_cost_by_their_nodes(monkeypatch, body):
+    """The nodes read for patterns grow with the document, not with its square."""
+    read, axis = [0], X.axis_nodes
+
+    def counted(n, name):
+        found = axis(n, name)
+        read[0] += len(found)
+        return found
+
+    monkeypatch.setattr(X, "axis_nodes", counted)
+    run('<a><g n="x">' + "<c><b>-1</b></c>" * 500 + "</g></a>", body)
+    assert read[0] < 20 * 1500
+
+
+def by_selection(n, e, c):
+    """A pattern's meaning: some ancestor, or the node itself, selects the node."""
+    up = n
+    while up is not None:
+        if any(x is n or X.order(x) == X.order(n) and x.kind == n.kind for x in X.evaluate(e, c.at(up))):
+            return True
+        up = up.up
+    return False
+
+
+def test_patterns():
+    rng = random.Random(5)
+    top = model.elem("r")
+    made = [top]
+    for k in range(60):
+        made.append(model.elem(rng.choice("ab"), {"k": str(k % 3)}, *["t"] * (k % 2)))
+        rng.choice(made[:-1]).children.append(made[-1])
+    tree = model.link(model.root(top))
+    c = X.Context(tree)
+    nodes = list(tree.walk())
+    nodes += [a for n in nodes if n.kind == "element" for a in X.axis_nodes(n, "attribute")]
+    for p in ("a", "*", "a/b", "/r/a", "//b", "a//b", "/r//a/b", "@k", "a/@k", "a[b]", "a[@k = 1]/b", "b[not(a)]", "a[1]", "b[last()]", "text()", "a/text()", "node()", "a[count(b) > 1]", "/", "a[.//b]", "a[2][b]"):
+        e = X.parse(p)
+        want = [e == ("path", "/", []) and n.kind == "root" or by_selection(n, e, c) if p != "/" else n.kind == "root" for n in nodes]
+        assert [xslt.matches(n, e, c) for n in nodes] == want, p
+
+
 def test_steps_down_and_cuts():
     tree, _ = parse_xml("<r><a><a>1</a><b/></a><a>2</a><c><a>3</a></c></r>")
     model.link(tree)

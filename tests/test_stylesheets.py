@@ -44,6 +44,7 @@ def test_calls_without_end(call):
     "body",
     [
         '<xsl:template match="/"><xsl:apply-templates select="//c"/></xsl:template><xsl:template match="c">c</xsl:template><xsl:template match="g/c[b &lt; 0]">n</xsl:template>',
+        '<xsl:key name="k" match="c" use="../@n"/><xsl:template match="/"><xsl:value-of select="count(key(\'k\', \'x\'))"/></xsl:template>',
     ],
 )
 def test_wide_documents_cost_by_their_nodes(monkeypatch, body):

@@ -61,7 +61,7 @@ def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = c.groupBy("c_nationkey", "c_mktsegment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", one.alias("x")))), lambda v: v["x"]), "").alias("b"))
     groups = groups.select("c_nationkey", "c_mktsegment", F.format_string('<group name="%s">%s</group>', "c_mktsegment", "b").alias("g"))
     body = groups.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_mktsegment", "g"))), lambda v: v["g"]), "").alias("b"))
-    joined = table(spark, sf_dir, "nation").join(body, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    joined = table(spark, sf_dir, "nation").join(body, F.col("n_nationkey") == F.col("c_nationkey"), "left").repartition(32, "n_nationkey")  # few large documents, each a task's work
     return shred(joined.select(F.col("n_nationkey").alias("doc_id"), F.concat(F.format_string('<nation key="%d" name="%s">', "n_nationkey", "n_name"), F.coalesce("b", F.lit("")), F.lit("</nation>")).alias("text")))
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import atexit
 import codecs
+import gc
 import mimetypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
@@ -129,9 +130,10 @@ def shred(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mime: str
     """NODE rows of each document; problems are rows of kind error (value: message, attrs: level). A document that fails keeps its root alone.
 
     A null id stays null; a null text is empty. Each document is parsed in one task, and no document's rows move.
+    What works on whole trees (map_trees, rewrite) and location paths read the documents themselves, as the result remembers them.
     """
     o = ReadOptions(**options)
-    direct = o == ReadOptions(warnings=o.warnings, encoding_errors=o.encoding_errors, input_encoding=o.input_encoding, base_uri=o.base_uri)
+    direct = _is_direct(o)
     cols = [F.col(doc_id).cast("long").alias("_i"), F.col(text).alias("_t"), (F.col(mime) if mime else F.lit(None)).cast("string").alias("_m")]
 
     def run(batches):
@@ -140,22 +142,82 @@ def shred(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mime: str
             for i, t, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if direct and (found := xml.xml_rows(i, normalize_newlines(t or ""))) is not None:
                     out.extend(found)
-                    if len(out) > 20_000:
-                        yield model.batch(out)
-                        out = []
-                    continue
-                tree, problems = parse(t, o, m)
-                for level, message in problems:
-                    if level > 1 or o.warnings:
-                        tree.children.append(Node("error", None, message, {"level": str(level)}))
-                out.extend(model.rows(i, tree))
-                if len(out) > 20_000:
-                    yield model.batch(out)
+                else:
+                    out.extend(model.rows(i, _tree(t, m, o, False)))
+                if len(out) > BATCH_ROWS:
+                    yield from model.batches(out)
                     out = []
-            if out:
-                yield model.batch(out)
+            yield from model.batches(out)
 
-    return docs.select(*cols).mapInArrow(run, NODE)
+    texts = docs.select(*cols)
+    nodes = texts.mapInArrow(run, NODE)
+    nodes._texts = (texts, o)
+    return nodes
+
+
+#: Rows of an Arrow batch of nodes or results.
+BATCH_ROWS = model.BATCH_ROWS
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """The session's Arrow batches held to BATCH_BYTES, unless it asks for less; a worker gets one large document at a time."""
+    conf = df.sparkSession.conf
+    was = conf.get(_BATCH, None)
+    if was is None or not was.isdigit() or int(was) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
+def _is_direct(o: ReadOptions) -> bool:
+    return o == ReadOptions(warnings=o.warnings, encoding_errors=o.encoding_errors, input_encoding=o.input_encoding, base_uri=o.base_uri)
+
+
+def _tree(text: str | None, mime: str | None, o: ReadOptions, direct: bool) -> Node:
+    """The linked tree of a document, its problems as children of the root."""
+    if direct and (tree := xml.xml_tree(normalize_newlines(text or ""))) is not None:
+        return tree
+    tree, problems = parse(text, o, mime)
+    for level, message in problems:
+        if level > 1 or o.warnings:
+            tree.children.append(Node("error", None, message, {"level": str(level)}))
+    return model.link(tree)
+
+
+def _each_tree(nodes: DataFrame, f: Callable[[int, Node], list[tuple]], make: Callable[[list[tuple]], Iterator], schema) -> DataFrame:
+    """Arrow batches that make() forms of the rows of f(doc_id, tree). Documents are parsed where they lie if the table is one of shred();
+    else a document's nodes meet in one task. One tree is in memory at a time."""
+    known = getattr(nodes, "_texts", None)
+    if known is not None:
+        docs, o = known
+        direct = _is_direct(o)
+
+        def trees(batch):
+            ids, texts, mimes = batch.columns
+            for k in range(batch.num_rows):
+                yield ids[k].as_py(), _tree(texts[k].as_py(), mimes[k].as_py(), o, direct)
+    else:
+        docs = nodes.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in NODE.fieldNames() if c != "doc_id"])).alias("n"))
+
+        def trees(batch):
+            for k in range(batch.num_rows):
+                yield batch.column(0)[k].as_py(), model.tree_of(batch.column(1)[k].values)
+
+    def run(batches):
+        gc.set_threshold(50_000)  # trees are taken apart below, so that the collector, which reads all that lives, need not come often
+        out: list[tuple] = []
+        for batch in batches:
+            for i, tree in trees(batch):
+                out.extend(f(i, tree))
+                model.unlink(tree)  # else its nodes, which name each other, stay until the collector comes
+                del tree
+                if len(out) > BATCH_ROWS:
+                    yield from make(out)
+                    out = []
+            yield from make(out)
+            out = []
+
+    return _bounded(docs).mapInArrow(run, schema)
 
 
 #: Stored node tables that have a key: the session's application and the key, and where the table lies.
@@ -247,33 +309,21 @@ def document_ok(nodes: DataFrame) -> DataFrame:
 
 def map_trees(nodes: DataFrame, f: Callable[[int, Node], list[tuple]], schema: str) -> DataFrame:
     """Rows of f(doc_id, tree) for each document; a document's nodes meet in one task, as a tree must."""
-    packed = nodes.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in NODE.fieldNames() if c != "doc_id"])).alias("n"))
-
-    def run(batches):
-        for batch in batches:
-            out = [row for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in f(i, model.tree([x | {"attrs": dict(x["attrs"] or [])} for x in n]))]
-            if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=arrow)
-
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    kind = StructType.fromDDL(schema)
-    arrow, names = to_arrow_schema(kind), kind.fieldNames()
-    return packed.mapInArrow(run, schema)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    def make(rows):
+        for k in range(0, len(rows), BATCH_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + BATCH_ROWS], strict=True), arrow.types, strict=True)], schema=arrow)
 
-def rewrite(nodes: DataFrame, f: Callable[[Node], list[Node]]) -> DataFrame:
-    """NODE rows after f, a function from a document's tree to trees, whose first becomes the document."""
-    packed = nodes.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in NODE.fieldNames() if c != "doc_id"])).alias("n"))
+    return _each_tree(nodes, f, make, schema)
 
-    def run(batches):
-        for batch in batches:
-            for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for t in f(model.tree([x | {"attrs": dict(x["attrs"] or [])} for x in n]))[:1]:
-                    yield model.batch(model.rows(i, t))
 
-    return packed.mapInArrow(run, NODE)
+def rewrite(nodes: DataFrame, f: Callable[[Node], list[Node]]) -> DataFrame:
+    """NODE rows after f, a function from a document's tree to trees, whose first becomes the document."""
+    return _each_tree(nodes, lambda i, tree: [r for t in f(tree)[:1] for r in model.rows(i, t)], model.batches, NODE)
 
 
 def _pieces(nodes: DataFrame, no_empty: frozenset[str] | bool) -> DataFrame:

@@ -156,7 +156,7 @@ def move_right(spark, sf_dir):
 
 def _path_values(path: str, as_: str = "n"):
     def run(spark, sf_dir):
-        return P.compile(orders(spark, sf_dir), path).select("doc_id", F.col("value").cast("int").alias(as_))
+        return P.compile(shred(order_docs(spark, sf_dir)), path).select("doc_id", F.col("value").cast("int").alias(as_))
 
     return run
 
@@ -180,7 +180,7 @@ for _name, _path, _sql in (
 
 @query(f"SELECT doc_id, k AS n FROM ({_LINES})")
 def xpath_count(spark, sf_dir):
-    return P.count(orders(spark, sf_dir), "//lineitem")
+    return P.count(shred(order_docs(spark, sf_dir)), "//lineitem")
 
 
 @query("SELECT o_orderkey AS doc_id, coalesce(sum(l_quantity), 'NaN'::DOUBLE) AS total FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
@@ -190,7 +190,7 @@ def xpath_sum(spark, sf_dir):
 
 @query("SELECT l_orderkey AS doc_id, l_linenumber AS n FROM lineitem WHERE l_returnflag = 'R' UNION SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 40")
 def xpath_union(spark, sf_dir):
-    return P.compile(orders(spark, sf_dir), "//lineitem[@flag = 'R']/@n | //lineitem[qty > 40]/@n").select("doc_id", F.col("value").cast("int").alias("n")).distinct()
+    return P.compile(shred(order_docs(spark, sf_dir)), "//lineitem[@flag = 'R']/@n | //lineitem[qty > 40]/@n").select("doc_id", F.col("value").cast("int").alias("n")).distinct()
 
 
 @query("SELECT n_nationkey AS doc_id, 'Customers: ' || count(c_custkey) AS value FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")

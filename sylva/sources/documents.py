@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..model import NODE, Node
 from ..operators import edit
-from . import html, xml
+from . import flat, html, xml
 from .serialize import to_xml
 
 
@@ -137,19 +138,23 @@ def shred(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mime: str
     cols = [F.col(doc_id).cast("long").alias("_i"), F.col(text).alias("_t"), (F.col(mime) if mime else F.lit(None)).cast("string").alias("_m")]
 
     def run(batches):
+        if direct:
+            gc.set_threshold(50_000)
+            for batch in batches:
+                for f in flat.batches(batch, lambda i, t: _rows(i, t, o)):
+                    for k in range(0, f.n, BATCH_ROWS):
+                        yield f.rows(np.arange(k, min(f.n, k + BATCH_ROWS)))
+            return
         for batch in batches:
             out: list[tuple] = []
             for i, t, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if direct and (found := xml.xml_rows(i, normalize_newlines(t or ""))) is not None:
-                    out.extend(found)
-                else:
-                    out.extend(model.rows(i, _tree(t, m, o, False)))
+                out.extend(model.rows(i, _tree(t, m, o, False)))
                 if len(out) > BATCH_ROWS:
                     yield from model.batches(out)
                     out = []
             yield from model.batches(out)
 
-    texts = docs.select(*cols)
+    texts = _bounded(docs.select(*cols))
     nodes = texts.mapInArrow(run, NODE)
     nodes._texts = (texts, o)
     return nodes
@@ -184,6 +189,35 @@ def _tree(text: str | None, mime: str | None, o: ReadOptions, direct: bool) -> N
     return model.link(tree)
 
 
+def _rows(i: int | None, text: str | None, o: ReadOptions) -> list[list]:
+    """NODE rows of a document with plain options."""
+    found = xml.xml_rows(i, normalize_newlines(text or ""))
+    return found if found is not None else model.rows(i, _tree(text, None, o, False))
+
+
+def map_flat(nodes: DataFrame, f: Callable[[flat.Flat], pa.RecordBatch], schema) -> DataFrame | None:
+    """Batches of f for the columns of some documents each, where the table is one of shred() with plain options; else None."""
+    docs, o = getattr(nodes, "_texts", None) or (None, None)
+    if docs is None or not _is_direct(o):
+        return None
+
+    def run(batches):
+        gc.set_threshold(50_000)
+        for batch in batches:
+            for x in flat.batches(batch, lambda i, t: _rows(i, t, o)):
+                got = f(x)
+                for k in range(0, got.num_rows, BATCH_ROWS):
+                    yield got.slice(k, BATCH_ROWS)
+
+    return _bounded(docs).mapInArrow(run, schema)
+
+
+def ids(nodes: DataFrame) -> DataFrame:
+    """doc_id of each document."""
+    known = getattr(nodes, "_texts", None)
+    return nodes.where("level = 0").select("doc_id") if known is None else known[0].select(F.col("_i").alias("doc_id"))
+
+
 def _each_tree(nodes: DataFrame, f: Callable[[int, Node], list[tuple]], make: Callable[[list[tuple]], Iterator], schema) -> DataFrame:
     """Arrow batches that make() forms of the rows of f(doc_id, tree). Documents are parsed where they lie if the table is one of shred();
     else a document's nodes meet in one task. One tree is in memory at a time."""

@@ -105,25 +105,42 @@ def link(tree: Node) -> Node:
     return tree
 
 
+class _Parts(dict):
+    """Prefix and local part of each name."""
+
+    def __missing__(self, name: str | None) -> tuple[str, str]:
+        if len(self) > 10_000:
+            self.clear()
+        own = self[name] = (name.split(":", 1)[0] if name and ":" in name else "", name.split(":", 1)[-1] if name else "")
+        return own
+
+
+_parts = _Parts()
+
+
 def rows(doc_id: int | None, tree: Node) -> list[tuple]:
     """NODE rows of a tree in document order."""
-    out: list[list] = []
-
-    def visit(n: Node, level: int, parent: int | None, sib: int) -> None:
-        stack = [(n, level, parent, sib, False)]
-        while stack:
-            n, level, parent, sib, done = stack.pop()
-            if done:
-                out[sib][3] = len(out) - sib - 1
-                continue
-            pre = len(out)
-            named = n.kind in NAMED
-            out.append([doc_id, pre, pre, 0, level, parent, sib, n.kind, n.prefix if named else None, n.local if named else None, n.ns if named else None, n.name if named else None, n.value, n.attrs or None])
-            stack.append((n, level, parent, pre, True))
-            stack.extend((c, level + 1, pre, k, False) for k, c in reversed(list(enumerate(n.children))))
-
-    visit(tree, 0, None, 0)
-    return [tuple(r) for r in out]
+    found: list[tuple] = []  # node, level, parent and place
+    stack: list[tuple] = [(tree, 0, None, 0)]
+    while stack:
+        item = stack.pop()
+        kids = item[0].children
+        if kids:
+            level, pre = item[1] + 1, len(found)
+            stack.extend([(kids[k], level, pre, k) for k in range(len(kids) - 1, -1, -1)])
+        found.append(item)
+    size = [0] * len(found)
+    for k in range(len(found) - 1, 0, -1):
+        size[found[k][2]] += size[k] + 1
+    out = []
+    for pre, (n, level, parent, sib) in enumerate(found):
+        name = n.name
+        if n.kind in NAMED:
+            prefix, local = _parts[name]
+            out.append((doc_id, pre, pre, size[pre], level, parent, sib, n.kind, prefix, local, n.ns, name, n.value, n.attrs or None))
+        else:
+            out.append((doc_id, pre, pre, size[pre], level, parent, sib, n.kind, None, None, None, None, n.value, n.attrs or None))
+    return out
 
 
 def unlink(tree: Node) -> None:

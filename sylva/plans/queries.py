@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
@@ -36,17 +36,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _filled(form: str, *values) -> Column:
+    """A text with a value for each %, "null" for none; compiled, which format_string is not."""
+    parts = form.split("%")
+    return F.concat(F.lit(parts[0]), *[x for v, p in zip(values, parts[1:], strict=True) for x in (F.coalesce((F.col(v) if isinstance(v, str) else v).cast("string"), F.lit("null")), F.lit(p))])
+
+
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and text: an order element with a lineitem for each line, in the order of line numbers."""
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
-        F.format_string('<lineitem n="%d" flag="%s"><qty>%d</qty><part>%d</part><supp>%d</supp></lineitem>', "l_linenumber", "l_returnflag", F.col("l_quantity").cast("long"), "l_partkey", "l_suppkey").alias("x"),
+        _filled('<lineitem n="%" flag="%"><qty>%</qty><part>%</part><supp>%</supp></lineitem>', "l_linenumber", "l_returnflag", F.col("l_quantity").cast("long"), "l_partkey", "l_suppkey").alias("x"),
     )
-    body = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "x"))), lambda v: v["x"]), "").alias("b"))
+    body = lines.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(F.struct("l_linenumber", "x"))).getField("x"), "").alias("b"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     joined = orders.join(body, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return joined.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.format_string('<order key="%d" status="%s">', "o_orderkey", "o_orderstatus"), F.coalesce("b", F.lit("")), F.lit("</order>")).alias("text"))
+    return joined.select(F.col("o_orderkey").alias("doc_id"), F.concat(_filled('<order key="%" status="%">', "o_orderkey", "o_orderstatus"), F.coalesce("b", F.lit("")), F.lit("</order>")).alias("text"))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,7 +502,7 @@ def namespaces(spark, sf_dir):
         top.attrs["xmlns"] = "urn:" + top.attrs["status"]
         return [edit.propagate_namespaces(t)]
 
-    new = rewrite(orders(spark, sf_dir), declare)
+    new = rewrite(shred(order_docs(spark, sf_dir)), declare)
     return new.where("kind = 'element' and local in ('order', 'lineitem')").groupBy("doc_id", F.col("ns_uri").alias("ns")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -168,7 +168,7 @@ def read(ids: list, docs: list[str | None], tags: Tags, other: Callable[[object,
         return read(ids[:half], docs[:half], tags, other) + read(ids[half:], docs[half:], tags, other)
 
 
-def batches(found: pa.RecordBatch, other: Callable[[object, str | None], list[list]], rows: int = 500_000):
+def batches(found: pa.RecordBatch, other: Callable[[object, str | None], list[list]], rows: int = 60_000):
     """Columns of an Arrow batch's documents (ids and texts), of bounded size."""
     tags = Tags()
     ids, docs = found.column(0).to_pylist(), found.column(1).to_pylist()

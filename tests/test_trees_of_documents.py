@@ -29,3 +29,9 @@ def test_no_nodes_are_gathered_in_lists(spark):
 def test_top_down():
     f = A.process_top_down(A.when(A.none, A.is_a(lambda n: n.name == "b")) >> A.when(A.arr(lambda n: model.elem("z", {}, *n.children)), A.is_a(lambda n: n.name == "c")))
     assert to_xml(f(model.elem("a", {}, model.elem("b"), model.elem("c", {}, "t", model.elem("b"), model.elem("c"))))[0]) == "<a><z>t<z/></z></a>"
+
+
+def test_rewriting_gathers_no_nodes(spark):
+    docs = spark.createDataFrame([*enumerate(TEXTS)], "doc_id long, text string")
+    plan = rewrite(shred(docs), lambda t: [t])._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Aggregate" not in plan and plan.count("MapInArrow") == 1

@@ -484,7 +484,7 @@ def rewrite_top_down(spark, sf_dir):
     from ..operators import arrows as A
 
     f = A.process_top_down(A.when(A.none, A.has_attr_value("flag", lambda v: v == "R")))
-    new = rewrite(orders(spark, sf_dir), f.run)
+    new = store(rewrite(shred(order_docs(spark, sf_dir)), f.run))
     text = axes.string_value(new.where("name = 'qty'"), new)
     return text.groupBy("doc_id").agg(F.sum(F.col("string_value").cast("long")).alias("q"))
 

@@ -35,3 +35,16 @@ def test_rewriting_gathers_no_nodes(spark):
     docs = spark.createDataFrame([*enumerate(TEXTS)], "doc_id long, text string")
     plan = rewrite(shred(docs), lambda t: [t])._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "Aggregate" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_top_down_makes_no_arrows_for_nodes(monkeypatch):
+    made, init = [0], A.Arrow.__init__
+
+    def counted(self, run):
+        made[0] += 1
+        init(self, run)
+
+    f = A.process_top_down(A.this)
+    monkeypatch.setattr(A.Arrow, "__init__", counted)
+    f(model.elem("a", {}, *[model.elem("b", {}, "t") for _ in range(50)]))
+    assert made[0] == 0
